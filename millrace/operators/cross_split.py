@@ -1,0 +1,90 @@
+"""Overlap of evaluation records with training records, by prompt, by file and by fingerprint."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from millrace.operators.overlap import MIN_WORDS, THRESHOLD, alike_groups, bucket_links, nodes, prefix_buckets
+from millrace.session import materialize
+
+TRAIN, EVALUATION = ("train",), ("dev", "test", "holdout")
+
+
+def split_side(split: Column) -> Column:
+    """`train`, `eval` or null of a split written in any case and with any blanks; unknown names are null."""
+    name = F.lower(F.regexp_replace(split, r"\s", ""))
+    return F.when(name.isin(*TRAIN), "train").when(name.isin(*EVALUATION), "eval")
+
+
+def _alike(df: DataFrame, key: str, field: str, column: str, threshold: float, n: int, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    sets = materialize(nodes(df, key, {field: column}, n=n, min_words=min_words), "ngrams")
+    links, comps = bucket_links(prefix_buckets(sets, threshold), sets, threshold)
+    return sets, links, comps
+
+
+def _groups(df: DataFrame, key: str, field: str, column: str, threshold: float, n: int, min_words: int) -> DataFrame:
+    sets, _, comps = _alike(df, key, field, column, threshold, n, min_words)
+    return alike_groups(sets, comps)
+
+
+def shared_evidence(cases: DataFrame, blobs: DataFrame, reports: DataFrame, *, threshold: float = THRESHOLD, n: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(kind, group, case_id)``: what each case shares with at least one other record.
+
+    Word n-gram hashes of every prompt, and of every file of role impl, are partitioned by hash (the rarest
+    n-grams of each record, enough for any pair at the threshold) and hits are compared exactly.
+    """
+    rows = _groups(cases, "case_id", "prompt", "prompt", threshold, n, min_words)
+    prompts = rows.select(F.lit("prompt").alias("kind"), F.col("group").cast("string").alias("group"), F.col("id").alias("case_id"))
+    impl = blobs.where("role = 'impl'")
+    files = _groups(impl, "blob_id", "content", "content", threshold, n, min_words)
+    owner = impl.select(F.col("blob_id").alias("id"), "case_id").distinct()
+    files = files.join(owner, "id").select(F.lit("content").alias("kind"), F.col("group").cast("string").alias("group"), "case_id")
+    marks = reports.where(F.col("fingerprint").startswith("v3:")).select(F.lit("fingerprint").alias("kind"), F.col("fingerprint").alias("group"), "case_id")
+    return prompts.unionByName(files).unionByName(marks).where("case_id is not null").distinct()
+
+
+def cross_split_pairs(cases: DataFrame, blobs: DataFrame, reports: DataFrame, **options) -> DataFrame:
+    """``(case_id_a, case_id_b)``: a training and an evaluation case that share a prompt, an impl file or a
+    v3 fingerprint; smaller id first, each pair once.
+
+    Cases of no or unknown split are in no pair but may connect others; a case listed under both sides counts
+    for both. Null ids, null texts and short texts give nothing; repeated rows count once; extra columns are ignored.
+    """
+    evidence = materialize(shared_evidence(cases, blobs, reports, **options), "evidence")
+    sides = cases.select("case_id", split_side(F.col("split")).alias("side")).where("side is not null").distinct()
+    rows = evidence.join(sides, "case_id")
+    both = rows.groupBy("kind", "group").agg(F.min("side").alias("lo"), F.max("side").alias("hi")).where("lo <> hi").select("kind", "group")
+    rows = rows.join(both, ["kind", "group"])
+    train = rows.where("side = 'train'").select("kind", "group", F.col("case_id").alias("t"))
+    held = rows.where("side = 'eval'").select("kind", "group", F.col("case_id").alias("e"))
+    pairs = train.join(held, ["kind", "group"]).where("t <> e")
+    return pairs.select(F.least("t", "e").alias("case_id_a"), F.greatest("t", "e").alias("case_id_b")).distinct()
+
+
+def overlap_counts(cases: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Cases with a cross-split partner, and pairs, per split and source (null shown as ``none``)."""
+    label = lambda c: F.coalesce(F.nullif(F.lower(F.trim(c)), F.lit("")), F.lit("none"))
+    info = cases.select("case_id", label(F.col("split")).alias("split"), label(F.col("source")).alias("source")).dropDuplicates(["case_id"])
+    ends = pairs.select(F.explode(F.array("case_id_a", "case_id_b")).alias("case_id")).groupBy("case_id").agg(F.count("*").alias("n"))
+    return info.join(ends, "case_id", "left").groupBy("split", "source").agg(
+        F.count("*").alias("cases"), F.count("n").alias("overlapping"), F.coalesce(F.sum("n"), F.lit(0)).alias("pairs")
+    )
+
+
+def containment(cases: DataFrame, *, threshold: float = THRESHOLD, n: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per linked evaluation and training prompt: shared n-grams over the evaluation record's n-grams.
+
+    One row per pair of differing texts that reaches the threshold directly; ids are the records' least ids
+    of that text and side. Equal texts are one node and have containment 1.
+    """
+    sides = cases.select("case_id", "prompt", split_side(F.col("split")).alias("side")).where("side is not null")
+    sets, links, _ = _alike(sides, "case_id", "prompt", "prompt", threshold, n, min_words)
+    who = sets.select("id", "fp", "size").join(sides.select(F.col("case_id").alias("id"), "side").distinct(), "id")
+    who = who.groupBy("fp", "side").agg(F.min("id").alias("id"), F.first("size").alias("size"))
+    e, t = who.where("side = 'eval'"), who.where("side = 'train'")
+    edges = links.select("u", "v", "common").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "common"))
+    near = edges.join(e.select(F.col("fp").alias("u"), F.col("id").alias("eval_id"), "size"), "u").join(t.select(F.col("fp").alias("v"), F.col("id").alias("train_id")), "v")
+    same = e.select("fp", F.col("id").alias("eval_id"), "size").join(t.select("fp", F.col("id").alias("train_id")), "fp").withColumn("common", F.col("size"))
+    cols = ["eval_id", "train_id", (F.col("common") / F.col("size")).alias("containment")]
+    return near.select(*cols).unionByName(same.select(*cols))
