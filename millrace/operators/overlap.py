@@ -28,8 +28,8 @@ from millrace.session import materialize
 MIN_WORDS, THRESHOLD = 25, 0.6
 #: 24 bands of 3 coordinates: two texts of similarity s share one with probability 1 - (1 - s^3)^24.
 BANDS, BAND_ROWS = 24, 3
-#: Counters of the n-gram frequency sketch (8 MB); they order prefixes and never decide a link.
-SKETCH = 1 << 20
+#: Counters of the n-gram frequency sketch (1 MB); they order prefixes and never decide a link.
+SKETCH = 1 << 17
 #: A banded bucket with more distinct nodes than this hands its nodes to the prefix buckets.
 HOT_BUCKET = 64
 #: Sets handled at once inside a worker.
