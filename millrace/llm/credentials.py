@@ -202,7 +202,7 @@ class _Writer:
     def secret(self) -> str:
         w, r, d = self.word, self.r, lambda n: self.chars(n, "0123456789")
         return r.choice([self.vendor, self.vendor, lambda: self.chars(r.randint(16, 44)), lambda: f"{w()}-{w()}-{d(2)}", lambda: f"{w()}{w()}{d(3)}", lambda: f"{w().title()}_{w()}${d(2)}", lambda: f"{w().title()}!{d(4)}", lambda: f"{self.chars(10)}#{d(3)}",
-                         lambda: self.chars(r.choice([40, 64, 32]), "0123456789abcdef"), lambda: self.chars(r.randint(20, 43)) + "-" + self.chars(6), lambda: self.chars(24) + "=="])()
+                         lambda: self.chars(r.choice([40, 64, 32]), "0123456789abcdef"), lambda: self.chars(r.choice([40, 64, 40]), "0123456789abcdef"), lambda: self.chars(r.randint(20, 43)) + "-" + self.chars(6), lambda: self.chars(24) + "=="])()
 
     def name(self) -> str:
         n = self.r.choice(_NAMES)
@@ -240,7 +240,7 @@ class _Writer:
         forms = [
             (f"{n} = {q}", s, q), (f"{n} = {q}", s, q), (f"{N}=", s, ""), (f"export {N}=", s, ""), (f"ENV {N}=", s, ""), (f"{n} = ", s, ""), (f"{n}: '", s, "'"), (f'"{n}": "', s, '",'), (f'settings = dict(host="{w()}.{w()}.test", {n}="', s, f'", retries={r.randint(1, 9)})'), (f"const {n} = '", s, "';"),
             ("  authorization: 'Bearer ", s, "',"), ('"Authorization": "Bearer ', s, '",'), ('BASIC = "Basic ', base64.b64encode(f"{login}:{pw}".encode()).decode(), '"'), (f'{w()} = "{scheme}://{login}:', pw, f'@{host}"'), (f"const target = `{scheme}://{login}:", pw, f"@{host}`;"), (f"# old key, rotate later: ", self.vendor(), ""), (f"// was {w()}: ", self.vendor(), ""),
-            (f'headers["X-Auth"] = "', s, '"'), (f"  'X-Token': '", s, "',"), (f"self._{n} = {q}", s, q), (f"{n}={q}", s, f"{q})"), (f'{n} = (\n    "', f'{simple[:half]}"\n    "{simple[half:] or "a9"}', '"\n)'), (f'KEY = """', f"-----BEGIN {r.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{self.chars(64)}\n{self.chars(40)}=\n-----END PRIVATE KEY-----", '\n"""'), (f'"{w()}_pem": "', f"-----BEGIN PRIVATE KEY-----\\n{self.chars(64)}\\n-----END PRIVATE KEY-----", '",'), (f"{n}: ", s, ""), (f"# {n}: ", s, ""), (f"// {n} = '", s, "'"), (f"{n} = {q}{simple[:half]}{q} + {q}", simple[half:] + "a9", q), (f"curl -H {q}Authorization: Bearer ", s, f"{q} https://{w()}.example"), (f"login({q}{w()}{q}, {n}={q}", s, f"{q})"),
+            (f'headers["X-Auth"] = "', s, '"'), (f"  'X-Token': '", s, "',"), (f"self._{n} = {q}", s, q), (f"{n}={q}", s, f"{q})"), (f'{n} = (\n    "', f'{simple[:half]}"\n    "{simple[half:] or "a9"}', '"\n)'), (f'KEY = """', f"-----BEGIN {r.choice(['', 'RSA ', 'EC '])}PRIVATE KEY-----\n{self.chars(64)}\n{self.chars(40)}=\n-----END PRIVATE KEY-----", '\n"""'), (f"const {w()} = `", f"-----BEGIN {r.choice(['', 'RSA ', 'OPENSSH ', 'EC '])}PRIVATE KEY-----\n{self.chars(64)}\n{self.chars(40)}=\n-----END PRIVATE KEY-----", "`;"), (f'{n} = (\n    "', f'{self.vendor()[:10].upper()}"\n    "{self.chars(10).upper()}', '"\n)'), ("", f"-----BEGIN PRIVATE KEY-----\n{self.chars(64)}\n-----END PRIVATE KEY-----", ""), (f'"{w()}_pem": "', f"-----BEGIN PRIVATE KEY-----\\n{self.chars(64)}\\n-----END PRIVATE KEY-----", '",'), (f"{n}: ", s, ""), (f"# {n}: ", s, ""), (f"// {n} = '", s, "'"), (f"{n} = {q}{simple[:half]}{q} + {q}", simple[half:] + "a9", q), (f"curl -H {q}Authorization: Bearer ", s, f"{q} https://{w()}.example"), (f"login({q}{w()}{q}, {n}={q}", s, f"{q})"),
         ]
         head, value, tail = r.choice(forms)
         first = len(head)
