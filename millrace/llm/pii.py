@@ -235,8 +235,8 @@ def fit_model(sentences: int = SENTENCES, seed: int = 11) -> ChainCRF:
 
 
 _DIGITS = re.compile(r"\d")
-# Machine names for hosts and the least digits of a phone number.
-_MIN_PHONE = 7
+# The least and most digits of a phone number.
+_MIN_PHONE, _MAX_PHONE = 7, 15
 
 
 def _plausible(kind: str, value: str) -> bool:
@@ -244,7 +244,7 @@ def _plausible(kind: str, value: str) -> bool:
     if kind == "email":
         return bool(re.search(r"@|\(at\)|\[at\]| at ", value)) and not re.match(r"(?i)(?:mailto:)?git@", value)
     if kind == "phone":
-        return len(_DIGITS.findall(value)) >= _MIN_PHONE
+        return _MIN_PHONE <= len(_DIGITS.findall(value)) <= _MAX_PHONE
     if kind == "id_number":
         return len(_DIGITS.findall(value)) >= 5
     if kind == "street_address":

@@ -1,0 +1,159 @@
+import json
+import random
+
+import numpy as np
+import pytest
+
+from millrace.llm import credentials, levels, pii, truncation
+from millrace.llm.crf import ChainCRF
+
+
+def test_chain_marginals_and_viterbi_equal_enumeration():
+    import itertools
+
+    crf = ChainCRF(["x"])
+    rng = np.random.default_rng(0)
+    crf.A = rng.normal(size=crf.A.shape)
+    e = rng.normal(size=(4, 3))
+    e[0] += crf.start
+    a = crf.A + crf.allowed
+    score = {y: sum(e[i, k] for i, k in enumerate(y)) + sum(a[p, q] for p, q in zip(y, y[1:])) for y in itertools.product(range(3), repeat=4)}
+    assert tuple(crf.viterbi(e)) == max(score, key=score.get)
+    z = np.logaddexp.reduce(list(score.values()))
+    log_p = crf.marginals(e)[0]
+    for i in range(4):
+        for k in range(3):
+            want = np.exp(np.logaddexp.reduce([s for y, s in score.items() if y[i] == k]) - z)
+            assert abs(np.exp(log_p[i, k]) - want) < 1e-9
+
+
+def test_skip_edges_make_labels_agree():
+    crf = ChainCRF(["x"])
+    sure, unsure = np.array([[0.0, 6.0, -1e4]]), np.array([[0.6, 0.0, -1e4]])
+    assert crf.viterbi(unsure) == [0]
+    assert crf.skip_decode([sure, unsure], [((0, 0), (1, 0))], 2.0) == [[1], [1]]
+    assert crf.skip_decode([sure, unsure], [], 2.0) == [[1], [0]]
+
+
+@pytest.fixture(scope="module")
+def people():
+    return pii.Finder(pii.fit_model(900))
+
+
+def test_pii_held_out(people):
+    w = pii._Writer(4242)
+    hit = all_ = extra = 0
+    for _ in range(250):
+        text, spans = w.sentence()
+        got = set(people.find(text))
+        hit, all_, extra = hit + len(got & set(spans)), all_ + len(spans), extra + len(got - set(spans))
+    assert hit / all_ > 0.96 and extra / all_ < 0.04
+
+
+def test_pii_decoys_and_redaction(people):
+    for t in ["Clone git@forge.tinfold.test:a/b.git and build it.", "Install @foo/bar@9.1.2 first.", "Run 3440492056 finished in 346-9987 ms.", "The Harbor Rung service restarted at 10.0.1.22 port 3341.", "", "x" * 100_000, "12 " * 20_000]:
+        assert people.find(t) == []
+    t = "Please ping mirko at mail dot tinfold dot test if it hangs.\nReviewed-by: Emeka Bexby\nCall me on +49 30 23125 532 if the run stalls."
+    spans = people.find(t)
+    assert [k for _, _, k in spans] == ["email", "person_name", "phone"]
+    assert pii.redact(t, spans) == "Please ping [EMAIL] if it hangs.\nReviewed-by: [PERSON_NAME]\nCall me on [PHONE] if the run stalls."
+
+
+def test_pii_tables(spark):
+    m = spark.createDataFrame([("m1", "Reviewed-by: Emeka Bexby", "x"), ("m1", "Reviewed-by: Emeka Bexby", "x"), ("m2", None, "x"), ("m3", "", "x"), (None, "Reviewed-by: Emeka Bexby", "x")], "msg_id string, content string, pii_types string")
+    s = spark.createDataFrame([("s1", [("user", None), ("user", "contact=a.b@quillmark.example;")]), ("s2", None), ("s3", [])], "session_id string, messages array<struct<role:string,content:string>>")
+    h = [json.dumps([{"role": "user", "content": [{"type": "text", "text": "On-call number: +49 30 23125 203"}]}, 3]), "[{cut", "", None, "{}"]
+    r = spark.createDataFrame([(f"r{i}", x) for i, x in enumerate(h)], "request_id string, full_history string")
+    got = {(x.record_kind, x.record_id, x.msg_pos, *x.pii_types) for x in pii.find_personal_data(m, s, r, sentences=700).collect()}
+    assert got == {("message", "m1", 0, "person_name"), ("session", "s1", 1, "email"), ("chat_record", "r0", 0, "phone")}
+    assert pii.find_personal_data(m.limit(0), s.limit(0), r.limit(0), sentences=50).count() == 0
+
+
+@pytest.fixture(scope="module")
+def secrets():
+    return credentials.Finder(credentials.fit_model(1300))
+
+
+def test_credentials_held_out(secrets):
+    w = credentials._Writer(777)
+    hit = all_ = extra = 0
+    for _ in range(250):
+        text, spans = w.text()
+        got = {a for a, _ in secrets.find(text)}
+        want = {a for a, _ in spans}
+        hit, all_, extra = hit + len(got & want), all_ + len(want), extra + len(got - want)
+    assert hit / all_ > 0.95 and extra / all_ < 0.05
+
+
+def test_credentials_redaction_keeps_code(secrets):
+    code = 'import os\nAPI_TOKEN = "ghp_4QOi37hAiRcuSNq50cM4AZK7OwK6Yr5FUBGQ"\npassword = os.environ["PASSWORD"]\ndb = "postgresql://svc:W7wn2bNNkQvGkI@db.norvale.example/sampler"\n'
+    spans = secrets.find(code)
+    out = credentials.redact(code, spans)
+    compile(out, "x", "exec")
+    assert len(out) == len(code) and "4QOi" not in out and "W7wn2" not in out and 'os.environ["PASSWORD"]' in out and out.count("\n") == code.count("\n")
+    assert secrets.find("") == [] and secrets.find("token " * 50_000) == []
+
+
+def test_credential_table(spark):
+    df = spark.createDataFrame([("f1", 'a = 1\r\nsecret = "sk-sUZpAr8sFxqdWxkgUl2ZlmjyFbt7Qzq1"\r\n', None), ("f2", "", "x"), ("f3", None, None), (None, 'secret = "sk-sUZpAr8sFxqdWxkgUl2ZlmjyFbt7Qzq1"', None)], "fv_id string, pre string, line_nos string")
+    got = credentials.find_credentials([(df, "fv_id", {"pre": "pre", "post": "line_nos"})], with_text=True, lines=900).collect()
+    assert [(r.record_id, r.field, r.line_nos) for r in got] == [("f1", "pre", [2])] and "sUZp" not in got[0].redacted and got[0].redacted.endswith('"\r\n')
+
+
+WORDS = {"basic": "the box is red and we run it fast in the day when it is bad", "advanced": "the methodological interpretation of heterogeneity necessarily presupposes epistemological configurations which institutional considerations corroborate"}
+
+
+def _text(band, n, rng):
+    pool = WORDS[band].split() if band in WORDS else (WORDS["basic"] + " " + WORDS["advanced"]).split()
+    return " ".join(rng.choice(pool) for _ in range(n)) + " " + " ".join(f"name{rng.randrange(10**6)}" for _ in range(5))
+
+
+def test_levels(spark):
+    rng = random.Random(1)
+    bands = ["basic", "intermediate", "advanced"]
+    samples = spark.createDataFrame([(i, _text(b, 120, rng), b) for b in bands for i in range(20)] + [(99, None, "basic"), (98, "x", "other")], "sample_id long, text string, band string")
+    docs = [(i, _text(bands[i % 3], 120, rng), bands[i % 3]) for i in range(90)] + [(900, None, None), (901, "", None), (902, "the box is red", None), (903, "der die das und nicht ist weil " * 40, None), (904, "```\n" + "the box is red and " * 50 + "\n```\nthe end", None), (905, "中文 " * 200, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, band string")
+    got = {r.doc_id: r.band for r in levels.reading_levels(df, samples).collect()}
+    assert set(got) == set(range(90)) and sum(got[i] == bands[i % 3] for i in range(90)) >= 88
+    assert levels.reading_levels(df.limit(0), samples).count() == 0 and levels.reading_levels(df, samples.limit(0)).count() == 0
+
+
+def test_prose_drops_code_tables_headings_and_links():
+    t = "# Head\n\none two\n\n| a | b |\n|---|---|\n| c | d |\n\n```py\nx = 1\n```\nthree [link](http://x.y) https://a.b/c four\n\nTitle\n-----\n\n    indented()\n~~~\nopen fence"
+    assert levels.prose(t).split() == ["one", "two", "three", "four"]
+
+
+def test_length_hazard_finds_the_cap_only(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(3000):
+        n = int(rng.expovariate(1 / 300)) + 5
+        rows.append(("content", "capped", min(n, 640), min(n, 640), i))
+        rows.append(("content", "free", n, n, 10_000 + i))
+    rows += [("content", "free", 333, 333, 7)] * 400  # one text repeated
+    got = truncation.length_hazards(spark.createDataFrame(rows, "field string, client string, chars long, bytes long, mark long"))
+    hits = {(r.client, r.unit, r.length) for r in got.where("significant and excess > 0.5").collect()}
+    assert hits == {("capped", "chars", 640), ("capped", "bytes", 640)}
+    assert truncation._poisson_tail(3, 1.0) == pytest.approx(1 - 2.5 * np.exp(-1)) and truncation._poisson_tail(0, 1.0) == 1
+
+
+def test_truncated(spark):
+    rng = random.Random(8)
+    vocab = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}{'oa' * rng.randint(0, 3)}{'n' * rng.randint(0, 2)}" for i in range(200)]
+    whole = lambda: " ".join(" ".join(rng.choice(vocab) for _ in range(rng.randint(5, 12))).capitalize() + "." for _ in range(rng.randint(2, 12)))
+    rows = []
+    for i in range(1500):
+        t = whole()
+        rows.append((f"a{i}", t[:400], "capped", 1))
+        rows.append((f"b{i}", t, "free", 1))
+    rows += [("cut", whole() + " Wao wbo wco wd", "free", 1), ("nul", None, "free", 1), ("emp", "", None, 1), ("a0", rows[0][1], "capped", 1)]
+    df = spark.createDataFrame(rows, "msg_id string, content string, client string, cut int")
+    out = {r.record_id: r for r in truncation.truncated([(df, "msg_id", "content", "content")], sample=1500).collect()}
+    assert "nul" not in out and "emp" not in out
+    capped = [i for i, (k, t, c, _) in enumerate(rows) if c == "capped" and len(t) == 400]
+    assert len(capped) > 200 and sum(out[rows[i][0]].cut for i in capped) / len(capped) > 0.95
+    free = [r for k, r in out.items() if k[0] == "b"]
+    assert out["cut"].cut and sum(r.cut for r in free) / len(free) < 0.01
+    rates = {r.client: r.rate for r in truncation.truncation_rates(truncation.truncated([(df, "msg_id", "content", "content")], sample=500)).collect()}
+    assert rates["capped"] > 0.1 and rates["free"] < 0.02
