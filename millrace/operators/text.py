@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lines of up to this many characters are too common to count as overlap.
 MIN_LINE = 25
@@ -63,7 +64,10 @@ def verbatim_share(df: DataFrame, key: str, text: str, pool: DataFrame, pool_tex
     return out.withColumn("share", F.coalesce(F.try_divide("shared", "lines"), F.lit(0.0)))
 
 
-@F.pandas_udf("struct<added:int,removed:int,ratio:double>")
+_DELTA = T.StructType([T.StructField("added", T.IntegerType()), T.StructField("removed", T.IntegerType()), T.StructField("ratio", T.DoubleType())])
+
+
+@F.pandas_udf(_DELTA)
 def line_delta(before: pd.Series, after: pd.Series) -> pd.DataFrame:
     """Added and removed lines of a line diff, and the share of matched lines; null counts as empty."""
     rows = []

@@ -117,7 +117,10 @@ def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
                     pre, origin = first.get(key, (base, "tool_write"))
                     pairs[key] = {"path": path, "pre": pre, "post": seen[key], "edits": 1, "pre_origin": origin, "post_origin": "edit"}
     rows = [{"request_id": pdf["request_id"].iloc[0], **p} for p in pairs.values() if p["pre"] != p["post"]]
-    return pd.DataFrame(rows or [{"request_id": pdf["request_id"].iloc[0]}], columns=["request_id", "path", "pre", "post", "edits", "pre_origin", "post_origin"])
+    names = ["request_id", "path", "pre", "post", "edits", "pre_origin", "post_origin"]
+    if not rows:  # a row without a path stands for "none"; it is dropped by the caller
+        rows = [{"request_id": pdf["request_id"].iloc[0], "edits": 0.0}]
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype="float64" if c == "edits" else object) for c in names})
 
 
 def replay_edits(messages: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def read_results(spark: SparkSession, path: str, strict: bool = False) -> DataFr
     rows = spark.read.schema(RESULT + ", _corrupt_record string").json(path).withColumn("_file", F.input_file_name())
     bad = F.col("_corrupt_record").isNotNull()
     if strict:
-        broken = rows.groupBy("_file").agg(F.bool_or(bad).alias("b")).where("b").select("_file")
+        # The count keeps a data column in the plan: Spark reads no file for its corrupt-record column alone.
+        broken = rows.groupBy("_file").agg(F.bool_or(bad).alias("b"), F.count("case_id").alias("n")).where("b and n >= 0").select("_file")
         rows = rows.join(broken, "_file", "left_anti")
     return rows.where("_corrupt_record is null and case_id is not null").drop("_corrupt_record", "_file")
 

@@ -14,9 +14,13 @@ def first_wins_stream(events: DataFrame, keys: list[str], ts: str, delay: str =
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(events: DataFrame, ts: str, kind: str, window: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Events per tumbling window and kind, complete once the watermark passes the window."""
-    return events.withWatermark(ts, delay).groupBy(F.window(ts, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
+def windowed_counts(events: DataFrame, ts: str, kind: str, window: str = "1 hour", delay: str | None = "1 hour") -> DataFrame:
+    """Events per tumbling window and kind, complete once the watermark passes the window.
+
+    ``delay`` is None for a stream that has its watermark already.
+    """
+    events = events if delay is None else events.withWatermark(ts, delay)
+    return events.groupBy(F.window(ts, window).alias("w"), kind).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), kind, "n")
 
 
 def emit_new(stream: DataFrame, keys: list[str], journal: str, sink: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
