@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import stats
-from millrace.operators import calibration, compare, cross_split, outcomes, text, traces
+from millrace.operators import calibration, compare, cross_split, outcomes, records, text, traces
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -326,3 +326,107 @@ def edit_line_deltas(spark: SparkSession, d: str) -> DataFrame:
 def replayed_edits(spark: SparkSession, d: str) -> DataFrame:
     """Edit pairs rebuilt from the messages of every trace; an ordered state machine."""
     return traces.replay_edits(table(spark, d, "messages"))
+
+
+@_query("""WITH c AS (SELECT DISTINCT ON (request_id) request_id, full_history FROM chat_records WHERE json_valid(full_history)), m AS (SELECT request_id, unnest(CAST(full_history AS JSON[])) AS m FROM c WHERE json_type(full_history) = 'ARRAY')
+  SELECT request_id, count(*) AS messages, count(*) FILTER (lower(trim(m->>'$.role')) IN ('user', 'human')) AS user_messages, count(*) FILTER (json_type(m, '$.content') = 'ARRAY') AS listed FROM m GROUP BY 1""")
+def history_messages(spark: SparkSession, d: str) -> DataFrame:
+    m = records.normalized_messages(table(spark, d, "chat_records").dropDuplicates(["request_id"]))
+    return m.groupBy("request_id").agg(F.count("*").alias("messages"), F.count_if(F.lower(F.trim("role")).isin("user", "human")).alias("user_messages"), F.count_if("is_list").alias("listed"))
+
+
+@_query("""SELECT coalesce(nullif(lower(split_part(CASE WHEN json_valid(requests_tags) THEN json_extract_string(requests_tags, '$.user_agent') END, '/', 1)), ''), 'none') AS agent, count(DISTINCT request_id) AS requests FROM chat_records GROUP BY 1""")
+def user_agents(spark: SparkSession, d: str) -> DataFrame:
+    agent = F.coalesce(records.user_agent(F.col("requests_tags")), F.lit("none"))
+    return table(spark, d, "chat_records").groupBy(agent.alias("agent")).agg(F.count_distinct("request_id").alias("requests"))
+
+
+@_query("""SELECT tool, count(DISTINCT request_id) AS requests FROM (SELECT request_id, unnest(from_json(tools, '["VARCHAR"]')) AS tool FROM chat_records WHERE json_valid(tools)) GROUP BY 1""")
+def offered_tools(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "chat_records").select("request_id", F.explode(records.tool_names(F.col("tools"))).alias("tool"))
+    return t.groupBy("tool").agg(F.count_distinct("request_id").alias("requests"))
+
+
+@_query(r"""WITH f AS (SELECT DISTINCT blob_id, path, regexp_extract(path, '[^/\\]*$') AS name FROM file_blobs), g AS (SELECT *, lower(regexp_extract(name, '\.([A-Za-z]+)$', 1)) AS s FROM f)
+  SELECT CASE WHEN s IN ('py', 'pyi') THEN 'python' WHEN s IN ('js', 'mjs', 'cjs', 'jsx') THEN 'javascript' WHEN s IN ('ts', 'tsx') THEN 'typescript' WHEN s IN ('json', 'toml') THEN s WHEN s = 'md' THEN 'markdown' WHEN s IN ('yaml', 'yml') THEN 'yaml' ELSE 'other' END AS language,
+  regexp_matches(lower(name), '^test_.*\.pyi?$|_test\.pyi?$|\.(test|spec)\.[mc]?[jt]sx?$') OR regexp_matches(lower(path), '(^|[/\\])(tests?|__tests__)[/\\]') AS is_test, count(*) AS files FROM g GROUP BY 1, 2""")
+def file_kinds(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "file_blobs").select("blob_id", "path").distinct()
+    return f.groupBy(records.language_of(F.col("path")).alias("language"), records.is_test_path(F.col("path")).alias("is_test")).agg(F.count("*").alias("files"))
+
+
+@_query(r"""SELECT DISTINCT fv_id, regexp_extract(path, '[^/\\]*$') || '#' || substr(sha256(path), 1, 12) AS path FROM file_versions""")
+def redacted_paths(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "file_versions").select("fv_id", records.redacted_path(F.col("path")).alias("path")).distinct()
+
+
+@_query("""SELECT count(*) AS ids, count(*) FILTER (regexp_matches(case_id, '^[A-Za-z0-9._-]{1,128}$') AND NOT regexp_matches(case_id, '^\\.+$')) AS safe FROM (SELECT DISTINCT case_id FROM cases)""")
+def safe_ids(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "cases").select("case_id").distinct()
+    return ids.agg(F.count("*").alias("ids"), F.count_if(records.is_safe_id(F.col("case_id"))).alias("safe"))
+
+
+@_query(r"""WITH m AS (SELECT DISTINCT msg_id, client, content FROM messages WHERE regexp_matches(content, '[0-9]{1,9} passed')), c AS (SELECT client, list_max(CAST(regexp_extract_all(content, '(\d{1,9}) passed', 1) AS INT[])) AS p, coalesce(list_max(CAST(regexp_extract_all(content, '(\d{1,9}) failed', 1) AS INT[])), 0) AS f FROM m)
+  SELECT client, count(*) AS runs, CAST(sum(p) AS BIGINT) AS passed, CAST(sum(f) AS BIGINT) AS failed, round(sum(p)::DOUBLE / nullif(sum(p) + sum(f), 0), 6) AS ratio FROM c GROUP BY 1""")
+def runner_ratios(spark: SparkSession, d: str) -> DataFrame:
+    p, f = records.runner_counts(F.col("content"))
+    m = table(spark, d, "messages").select("msg_id", "client", "content").where("content rlike '[0-9]{1,9} passed'").distinct().select("client", p.alias("p"), f.alias("f"))
+    out = m.groupBy("client").agg(F.count("*").alias("runs"), F.sum("p").alias("passed"), F.sum("f").alias("failed"))
+    return _round(out.withColumn("ratio", F.try_divide("passed", F.col("passed") + F.col("failed"))), "ratio")
+
+
+@_query("SELECT DISTINCT case_id FROM cases WHERE case_id NOT IN (SELECT case_id FROM validity_reports WHERE case_id IS NOT NULL)")
+def unaudited_cases(spark: SparkSession, d: str) -> DataFrame:
+    return records.uncovered(table(spark, d, "cases"), table(spark, d, "validity_reports"), "case_id")
+
+
+@_query("SELECT case_id, count(DISTINCT coalesce(fingerprint, '') || '|' || coalesce(tier, '~') || '|' || CAST(audited_at AS VARCHAR)) AS versions FROM validity_reports GROUP BY 1 HAVING count(DISTINCT coalesce(fingerprint, '') || '|' || coalesce(tier, '~') || '|' || CAST(audited_at AS VARCHAR)) > 1")
+def repeated_reports(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "validity_reports").select("case_id", F.coalesce("fingerprint", F.lit("")).alias("f"), F.coalesce("tier", F.lit("~")).alias("t"), "audited_at")
+    return records.conflicting_ids(v, "case_id", ["f", "t", "audited_at"])
+
+
+@_query("""WITH f AS (SELECT DISTINCT blob_id, case_id, length(content) AS n FROM file_blobs WHERE content IS NOT NULL) SELECT a.blob_id, arg_min(b.blob_id, (abs(a.n - b.n), b.blob_id)) AS nearest, CAST(min(abs(a.n - b.n)) AS INT) AS difference FROM f a JOIN f b ON a.case_id = b.case_id AND a.blob_id <> b.blob_id GROUP BY 1""")
+def nearest_files(spark: SparkSession, d: str) -> DataFrame:
+    return records.nearest_by_size(table(spark, d, "file_blobs"), "case_id", "blob_id", "content")
+
+
+@_query("""WITH f AS (SELECT DISTINCT case_id, path, content FROM file_blobs WHERE role = 'impl' AND content IS NOT NULL), h AS (SELECT case_id, sha256(path || ':' || md5(content)) AS x FROM f),
+  s AS (SELECT case_id, count(*) AS n, sum(CAST(('0x' || substr(x, 1, 12)) AS BIGINT)) AS s, sum(CAST(('0x' || substr(x, 13, 12)) AS BIGINT)) AS t FROM h GROUP BY 1), k AS (SELECT case_id, substr(sha256(n || ':' || s || ':' || t), 1, 16) AS solution_key FROM s)
+  SELECT solution_key, count(*) AS cases, min(case_id) AS first_case FROM k GROUP BY 1""")
+def solution_keys(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "file_blobs").where("role = 'impl' and content is not null").select("case_id", "path", F.md5("content").alias("c")).distinct()
+    keys = text.set_fingerprint(f, "case_id", "path", "c")
+    return keys.groupBy(F.col("fingerprint").alias("solution_key")).agg(F.count("*").alias("cases"), F.min("case_id").alias("first_case"))
+
+
+@_query("""WITH o AS (SELECT l_returnflag AS anchor, count(*) FILTER (l_tax > 0.075) AS dropped FROM lineitem GROUP BY 1) SELECT * FROM o WHERE dropped > 0""")
+def dropped_by_anchor(spark: SparkSession, d: str) -> DataFrame:
+    return _calibration_rows(spark, d).groupBy("anchor").agg(F.count_if("infra_error").alias("dropped")).where("dropped > 0")
+
+
+@_query("""WITH f AS (SELECT DISTINCT fv_id, pre_origin, pre, post FROM file_versions) SELECT coalesce(pre_origin, 'none') AS origin, count(*) AS pairs, count(DISTINCT CASE WHEN pre IS NOT NULL AND post IS NOT NULL AND pre <> post THEN md5(pre) || md5(post) END) AS usable FROM f GROUP BY 1""")
+def pair_pool(spark: SparkSession, d: str) -> DataFrame:
+    f = table(spark, d, "file_versions").select("fv_id", "pre_origin", "pre", "post").distinct()
+    usable = F.when(F.col("pre") != F.col("post"), F.concat(F.md5("pre"), F.md5("post")))
+    return f.groupBy(F.coalesce("pre_origin", F.lit("none")).alias("origin")).agg(F.count("*").alias("pairs"), F.count_distinct(usable).alias("usable"))
+
+
+@_query("""WITH k AS (SELECT DISTINCT case_id, unnest(grader.key_lines) AS line FROM cases), f AS (SELECT DISTINCT case_id, blob_id, content FROM file_blobs WHERE role <> 'spec' AND content IS NOT NULL)
+  SELECT case_id, count(DISTINCT trim(line)) AS lines, count(DISTINCT blob_id) AS files FROM k JOIN f USING (case_id) WHERE length(trim(line)) >= 8 AND contains(content, trim(line)) GROUP BY 1""")
+def leaked_key_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Cases whose graded key lines stand in a file that the solver sees; files and lines meet on the case, not pairwise."""
+    k = table(spark, d, "cases").select("case_id", F.explode("grader.key_lines").alias("line")).distinct().withColumn("line", F.trim("line")).where("length(line) >= 8")
+    f = table(spark, d, "file_blobs").where("role <> 'spec' and content is not null").select("case_id", "blob_id", "content").distinct()
+    hits = k.join(f, "case_id").where(F.col("content").contains(F.col("line")))
+    return hits.groupBy("case_id").agg(F.count_distinct("line").alias("lines"), F.count_distinct("blob_id").alias("files"))
+
+
+_MARKS, _TODO = r"(?im)(#|//|/\*).*\b(bug|fixme|hack|xxx)\b", r"(?im)(#|//|/\*).*\btodo\b"
+
+
+@_query(f"""WITH f AS (SELECT DISTINCT fv_id, pre FROM file_versions WHERE pre IS NOT NULL), h AS (SELECT fv_id, regexp_matches(pre, '{_MARKS}') AS marked, regexp_matches(pre, '{_TODO}') AS todo FROM f) SELECT marked, todo, count(*) AS files FROM h GROUP BY 1, 2""")
+def bug_markers(spark: SparkSession, d: str) -> DataFrame:
+    """Files with marker comments; open tasks are counted apart."""
+    f = table(spark, d, "file_versions").where("pre is not null").select("fv_id", "pre").distinct()
+    return f.groupBy(F.col("pre").rlike(_MARKS).alias("marked"), F.col("pre").rlike(_TODO).alias("todo")).agg(F.count("*").alias("files"))
