@@ -320,15 +320,16 @@ def redact(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join(parts) + text[at:]
 
 
-_FINDERS: dict[int, Finder] = {}
+_LAST: list[tuple[tuple, Finder]] = []
 
 
 def _finder(packed: tuple) -> Finder:
-    if id(packed) not in _FINDERS:
+    """The worker's finder for these weights; only the last one is kept."""
+    if not _LAST or _LAST[0][0] is not packed:
         crf = ChainCRF(["credential"])
         crf.W, crf.A = packed
-        _FINDERS[id(packed)] = Finder(crf)
-    return _FINDERS[id(packed)]
+        _LAST[:] = [(packed, Finder(crf))]
+    return _LAST[0][1]
 
 
 def find_credentials(sources: list[tuple[DataFrame, str, dict[str, str]]], *, with_text: bool = False, lines: int = LINES) -> DataFrame:

@@ -328,16 +328,16 @@ def history_texts(text: str | None) -> list[tuple[int, str]]:
     return out
 
 
-_FINDERS: dict[int, Finder] = {}
+_LAST: list[tuple[tuple, Finder]] = []
 
 
 def _finder(packed: tuple) -> Finder:
-    key = id(packed)
-    if key not in _FINDERS:
+    """The worker's finder for these weights; only the last one is kept."""
+    if not _LAST or _LAST[0][0] is not packed:
         crf = ChainCRF(TYPES)
         crf.W, crf.A = packed
-        _FINDERS[key] = Finder(crf)
-    return _FINDERS[key]
+        _LAST[:] = [(packed, Finder(crf))]
+    return _LAST[0][1]
 
 
 def find_personal_data(messages: DataFrame, sessions: DataFrame, records: DataFrame, *, with_text: bool = False, sentences: int = SENTENCES) -> DataFrame:

@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from millrace.session import materialize
 
-#: Texts per field read to fit the ending model; the only bounded sample.
-SAMPLE = 8000
+#: Texts per field read to fit the ending model, the only bounded sample,
+#: and the characters kept of each of them, so that what the driver fits on is bounded; scoring reads whole texts.
+SAMPLE, SAMPLE_CHARS = 8000, 4000
 #: Neighbouring lengths on each side, the false-discovery rate, and the share of texts cut in transfer that is assumed.
 NEIGHBOURS, FDR, TRANSFER_RATE = 25, 1e-3, 0.05
 #: Passes of the fit, and the largest share of texts of ordinary length that may be set aside as unlabelled cuts.
@@ -245,7 +246,7 @@ def truncated(sources: list[tuple[DataFrame, str, str, str]], *, sample: int = S
         known = spikes.where((F.col("field") == field) & (F.col("unit") == "chars")).select(F.col("client").alias("c"), F.col("length").alias("l"))
         some = df.select(F.col(id_col).alias("id"), F.coalesce("client", F.lit("")).alias("c"), F.col(text_col).cast("string").alias("t")).where("t <> ''")
         some = some.withColumn("l", F.char_length("t").cast("long")).join(known.where("l > 100"), ["c", "l"], "left_anti").orderBy(F.xxhash64("id"), "id").limit(sample)
-        texts = sorted({r.t for r in some.select("t").collect()})
+        texts = sorted({r.t for r in some.select(F.expr(f"right(t, {SAMPLE_CHARS})").alias("t")).collect()})
         model = spark.sparkContext.broadcast(fit_endings(texts))
         one = _scored(df, id_col, text_col, field, model)
         parts = one if parts is None else parts.unionByName(one)
