@@ -157,3 +157,13 @@ def test_truncated(spark):
     assert out["cut"].cut and sum(r.cut for r in free) / len(free) < 0.01
     rates = {r.client: r.rate for r in truncation.truncation_rates(truncation.truncated([(df, "msg_id", "content", "content")], sample=500)).collect()}
     assert rates["capped"] > 0.1 and rates["free"] < 0.02
+
+
+def test_cue_search_equals_pattern_scan(sf):
+    import pandas as pd
+
+    texts = [t for t in pd.read_parquet(f"{sf}/file_versions.parquet").pre if t] + ["", "İ token = 'x'", "KEY=\nkey", "a_key sk-ab https://u:p@h", "-----BEGIN X"]
+    fast = [credentials.windows(t) for t in texts]
+    slow = [[m.start() for m in credentials._CUE.finditer(t)] for t in texts]
+    for t, spans, starts in zip(texts, fast, slow):
+        assert all(any(a <= s <= b for a, b in spans) for s in starts) and (bool(spans) == bool(starts)), t
