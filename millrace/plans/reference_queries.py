@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import stats
-from millrace.operators import calibration, compare, cross_split, outcomes, records, text, traces
+from millrace.operators import blind, calibration, compare, cross_split, outcomes, records, text, traces
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -430,3 +430,11 @@ def bug_markers(spark: SparkSession, d: str) -> DataFrame:
     """Files with marker comments; open tasks are counted apart."""
     f = table(spark, d, "file_versions").where("pre is not null").select("fv_id", "pre").distinct()
     return f.groupBy(F.col("pre").rlike(_MARKS).alias("marked"), F.col("pre").rlike(_TODO).alias("todo")).agg(F.count("*").alias("files"))
+
+
+@_query()
+def blind_features(spark: SparkSession, d: str) -> DataFrame:
+    """How well length and spaces tell advanced from basic samples; exact resampling has no SQL."""
+    rows = table(spark, d, "level_samples").where("band in ('basic', 'advanced')")
+    each = F.explode(F.array(F.struct(F.lit("chars").alias("feature"), F.length("text").alias("value")), F.struct(F.lit("words").alias("feature"), F.size(F.split("text", " ")).alias("value")))).alias("x")
+    return blind.blind_features(rows.select("sample_id", "band", each).select("x.feature", F.col("sample_id").alias("pair"), "x.value", (F.col("band") == "advanced").alias("label")))
