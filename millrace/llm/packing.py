@@ -85,7 +85,8 @@ def pack(sizes: DataFrame, id_col: str, size_col: str, capacity: int = CAPACITY)
     full = F.floor((F.greatest("size", F.lit(1)) - 1) / capacity).cast("int")
     pieces = rows.select("id", F.explode(F.sequence(F.lit(0), full)).alias("piece"), "size")
     pieces = pieces.select("id", "piece", F.least(F.col("size") - F.col("piece").cast("long") * capacity, F.lit(capacity)).cast("int").alias("tokens"))
-    ranged = pieces.repartitionByRange(F.col("tokens").desc(), F.col("id"), F.col("piece")).sortWithinPartitions(F.col("tokens").desc(), "id", "piece")
+    # Range partitioning samples its input first; sizes are kept so that no text is encoded twice for it.
+    ranged = materialize(pieces, "sizes").repartitionByRange(F.col("tokens").desc(), F.col("id"), F.col("piece")).sortWithinPartitions(F.col("tokens").desc(), "id", "piece")
     placed = materialize(ranged.withColumn("part", F.spark_partition_id()), "pack")
     table = placed.groupBy("part", "tokens").agg(F.count("*").alias("n")).toPandas()
     counts = np.zeros(capacity + 1, np.int64)
