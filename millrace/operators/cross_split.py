@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.operators.overlap import MIN_WORDS, THRESHOLD, alike_groups, bucket_links, nodes, prefix_buckets
+from millrace.operators.overlap import MIN_WORDS, THRESHOLD, alike_groups, bucket_links, compare_nodes, nodes, prefix_buckets
 from millrace.session import materialize
 
 TRAIN, EVALUATION = ("train",), ("dev", "test", "holdout")
+#: Training rows of one bucket that are compared in one block.
+BLOCK = 256
 
 
 def split_side(split: Column) -> Column:
@@ -17,14 +19,9 @@ def split_side(split: Column) -> Column:
     return F.when(name.isin(*TRAIN), "train").when(name.isin(*EVALUATION), "eval")
 
 
-def _alike(df: DataFrame, key: str, field: str, column: str, threshold: float, n: int, min_words: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    sets = materialize(nodes(df, key, {field: column}, n=n, min_words=min_words), "ngrams")
-    links, comps = bucket_links(prefix_buckets(sets, threshold), sets, threshold)
-    return sets, links, comps
-
-
 def _groups(df: DataFrame, key: str, field: str, column: str, threshold: float, n: int, min_words: int) -> DataFrame:
-    sets, _, comps = _alike(df, key, field, column, threshold, n, min_words)
+    sets = materialize(nodes(df, key, {field: column}, n=n, min_words=min_words), "ngrams")
+    _, comps = bucket_links(prefix_buckets(sets, threshold), sets, threshold)
     return alike_groups(sets, comps)
 
 
@@ -72,19 +69,38 @@ def overlap_counts(cases: DataFrame, pairs: DataFrame) -> DataFrame:
     )
 
 
+def _cross_pairs(buckets: DataFrame, sides: DataFrame, threshold: float) -> DataFrame:
+    """``(u, v)``: every evaluation node and training node that differ, share a bucket and are near enough in size.
+
+    ``sides(fp, side, size)``. The training rows of a bucket are cut into blocks of about ``BLOCK`` rows that each
+    meet a copy of the bucket's evaluation rows, so no task has to hold a hot bucket.
+    """
+    rows = buckets.distinct().join(sides, "fp")
+    count = rows.groupBy("bucket").agg(F.count_if(F.col("side") == "train").alias("t"), F.count_if(F.col("side") == "eval").alias("e")).where("t > 0 and e > 0")
+    rows = rows.join(count.select("bucket", F.ceil(F.col("t") / BLOCK).cast("int").alias("blocks")), "bucket")
+    block = F.sequence(F.lit(0), F.col("blocks") - 1)
+    held = rows.where("side = 'eval'").select("bucket", F.explode(block).alias("block"), F.col("fp").alias("u"), F.col("size").alias("nu"))
+    train = rows.where("side = 'train'").select("bucket", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("block"), F.col("fp").alias("v"), F.col("size").alias("nv"))
+    near = (F.col("u") != F.col("v")) & (F.least("nu", "nv") >= threshold * F.greatest("nu", "nv") - 1e-9)
+    return held.join(train, ["bucket", "block"]).where(near).select("u", "v").distinct()
+
+
 def containment(cases: DataFrame, *, threshold: float = THRESHOLD, n: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per linked evaluation and training prompt: shared n-grams over the evaluation record's n-grams.
+    """Per directly alike evaluation and training prompt: shared n-grams over the evaluation record's n-grams.
 
     One row per pair of differing texts that reaches the threshold directly; ids are the records' least ids
     of that text and side. Equal texts are one node and have containment 1.
     """
     sides = cases.select("case_id", "prompt", split_side(F.col("split")).alias("side")).where("side is not null")
-    sets, links, _ = _alike(sides, "case_id", "prompt", "prompt", threshold, n, min_words)
+    sets = materialize(nodes(sides, "case_id", {"prompt": "prompt"}, n=n, min_words=min_words), "ngrams")
     who = sets.select("id", "fp", "size").join(sides.select(F.col("case_id").alias("id"), "side").distinct(), "id")
-    who = who.groupBy("fp", "side").agg(F.min("id").alias("id"), F.first("size").alias("size"))
+    who = materialize(who.groupBy("fp", "side").agg(F.min("id").alias("id"), F.first("size").alias("size")), "sides")
+    pairs = materialize(_cross_pairs(prefix_buckets(sets, threshold), who.select("fp", "side", "size"), threshold), "pairs")
+    need = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    arrays = materialize(sets.select("fp", "size", "grams").join(need, "fp", "left_semi").dropDuplicates(["fp"]), "arrays")
+    links = compare_nodes(pairs, arrays, threshold)
     e, t = who.where("side = 'eval'"), who.where("side = 'train'")
-    edges = links.select("u", "v", "common").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"), "common"))
-    near = edges.join(e.select(F.col("fp").alias("u"), F.col("id").alias("eval_id"), "size"), "u").join(t.select(F.col("fp").alias("v"), F.col("id").alias("train_id")), "v")
+    near = links.select("u", "v", "common").join(e.select(F.col("fp").alias("u"), F.col("id").alias("eval_id"), "size"), "u").join(t.select(F.col("fp").alias("v"), F.col("id").alias("train_id")), "v")
     same = e.select("fp", F.col("id").alias("eval_id"), "size").join(t.select("fp", F.col("id").alias("train_id")), "fp").withColumn("common", F.col("size"))
     cols = ["eval_id", "train_id", (F.col("common") / F.col("size")).alias("containment")]
     return near.select(*cols).unionByName(same.select(*cols))

@@ -141,7 +141,7 @@ def prefix_buckets(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sets.select("fp", "field", "grams").mapInArrow(emit, "bucket long, fp long")
 
 
-def _compare(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def compare_nodes(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``(u, v)`` with exact intersection, kept where the Jaccard similarity reaches the threshold."""
     a = sets.select(F.col("fp").alias("u"), F.col("grams").alias("ga"), F.col("size").alias("na"))
     b = sets.select(F.col("fp").alias("v"), F.col("grams").alias("gb"), F.col("size").alias("nb"))
@@ -161,7 +161,7 @@ def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHO
     star = shared.where("fp <> lo").select(F.col("lo").alias("u"), F.col("fp").alias("v")).distinct()
     need = shared.select("fp").distinct()
     arrays = materialize(sets.select("fp", "field", "size", "grams").join(need, "fp", "left_semi").dropDuplicates(["fp"]), "arrays")
-    links = materialize(_compare(star, arrays, threshold), "links")
+    links = materialize(compare_nodes(star, arrays, threshold), "links")
     comps = connected_components(links.select("u", "v"))
     part = shared.join(comps.withColumnRenamed("node", "fp"), "fp", "left").select("bucket", "fp", F.coalesce("component", "fp").alias("c"))
     mixed = part.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("rows")).where("a <> b")
@@ -172,7 +172,7 @@ def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHO
     x, y = small.alias("x"), small.alias("y")
     pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.c <> y.c and x.fp < y.fp").select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
     pairs = pairs.join(star, ["u", "v"], "left_anti")
-    more = _compare(pairs, arrays, threshold)
+    more = compare_nodes(pairs, arrays, threshold)
     if hot is not None:
         many = rest.where(F.col("rows") > hot).select("fp").distinct()
         if not many.isEmpty():

@@ -149,3 +149,20 @@ def test_cross_split_pairs(spark):
     assert set(best) == {("b", "a")} and 0.8 < best["b", "a"] < 1
     empty = cross_split.cross_split_pairs(cases.limit(0), blobs.limit(0), reports.limit(0))
     assert empty.count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_containment_equals_brute_force(spark, block, monkeypatch):
+    monkeypatch.setattr(cross_split, "BLOCK", block)
+    texts = _corpus(11, 90)
+    rows = [(f"r{i:03}", t, ["train", "dev", "Train ", None, "holdout"][i % 5]) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "case_id string, prompt string, split string")
+    got = {(r.eval_id, r.train_id): r.containment for r in cross_split.containment(df).collect()}
+    side = lambda x: {"train": "train", "dev": "eval", "holdout": "eval"}.get((x or "").strip().lower())
+    least = {}
+    for i, t, s in rows:
+        grams, words = triples(t)
+        if side(s) and words >= 25:
+            least.setdefault((side(s), frozenset(grams)), i)
+    want = {(i, j): len(a & b) / len(a) for (s, a), i in least.items() for (x, b), j in least.items() if (s, x) == ("eval", "train") and len(a & b) >= 0.6 * len(a | b)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
