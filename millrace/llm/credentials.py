@@ -152,6 +152,34 @@ def _features(a: list[str]) -> list[list[int]]:
 
 
 QUOTES = ('"', "'", "`")
+# Between two pieces of one literal: closing quote, blanks, line ends, comments, a sign that joins, a prefix, opening quote.
+_JOINT = re.compile(r"[\"'`](?:\s|\\(?=\r?\n)|[+.](?!\w)|(?:#|//)[^\n]*(?=\n))*(?:[rRbBuUfF]{1,2}(?=[\"'`]))?[\"'`]")
+# The rest of a piece without blanks, up to its quote or the host of a login.
+_PIECE = re.compile(r"[^\s\"'`@]+(?=[\"'`@])")
+# What a line that goes on with a piece of the literal begins with.
+_NEXT_PIECE = re.compile(r"[ \t]*(?:[+.][ \t]*)?[rRbBuUfF]{0,2}[\"'`]")
+_QUOTED = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`\n]*`|(?:#|//)[^\n]*")
+
+
+def _whole(text: str, lo: int, end: int) -> int:
+    """The end of a value that ends at ``end``, with all further pieces of its literal and without the closing quote.
+
+    Pieces are joined by a sign or a backslash, or stand on lines of a bracket opened from ``lo`` on; strings that are
+    only side by side (arguments of a command, a text below) are none.
+    """
+    end -= text[end - 1] in QUOTES
+    while (joint := _JOINT.match(text, end)) and (piece := _PIECE.match(text, joint.end())):
+        between = re.sub(r"(?:#|//)[^\n]*", "", joint.group()[1:-1])
+        if not (re.search(r"[+.\\]", between) or "\n" in between and sum(map(_depth, text[lo : end + 1].split("\n"))) > 0):
+            break
+        end = piece.end()
+    return end
+
+
+def _depth(line: str) -> int:
+    """Round and square brackets that a line opens, less those it closes, outside strings and comments."""
+    bare = _QUOTED.sub("", line)
+    return bare.count("(") + bare.count("[") - bare.count(")") - bare.count("]")
 
 
 def _cues(text: str) -> list[re.Match]:
@@ -170,8 +198,13 @@ def _cues(text: str) -> list[re.Match]:
     return [found[k] for k in sorted(found)]
 
 
-def windows(text: str) -> list[tuple[int, int]]:
-    """Character ranges of whole lines around cues; a bracket or operator at a line's end draws in the next lines."""
+def windows(text: str, most: int | None = None) -> list[tuple[int, int]]:
+    """Character ranges of whole lines around cues.
+
+    Further lines are drawn in, however many, while a round or square bracket of the window is open, after an operator at
+    a line's end, and as long as pieces of a string follow each other. With ``most``, no bracket stays open past its line
+    and that many lines are drawn in: the field learns from first pieces, what follows them is ``_whole``.
+    """
     out: list[list[int]] = []
     at = 0
     for m in _cues(text):
@@ -183,13 +216,19 @@ def windows(text: str) -> list[tuple[int, int]]:
         if m.group().startswith("-----BEGIN") and (end := text.find("-----END", m.end())) >= 0:
             close = text.find("\n", end)
             hi = max(hi, len(text) if close < 0 else close)
-        for _ in range(4):
-            tail = text[lo:hi].rstrip()
-            if hi < len(text) and (tail.endswith(("(", "[", "=", "\\", "+")) or (out and out[-1][1] >= lo - 1 and tail.endswith(QUOTES))):
-                nxt = text.find("\n", hi + 1)
-                hi = len(text) if nxt < 0 else nxt
-            else:
-                break
+        depth, start, tail = 0, lo, ""
+        drawn = 0
+        while hi < len(text) and drawn != most:
+            drawn += 1
+            line = text[start:hi]
+            depth = 0 if most else max(depth + sum(map(_depth, line.split("\n"))), 0)
+            tail = line.rstrip() or tail
+            if not (depth or tail.endswith(("(", "[", "=", "\\", "+")) or not most and tail.endswith(QUOTES) and _NEXT_PIECE.match(text, hi + 1)):
+                if not (out and out[-1][1] >= lo - 1 and tail.endswith(QUOTES)):
+                    break
+            start = hi + 1
+            nxt = text.find("\n", start)
+            hi = len(text) if nxt < 0 else nxt
         if out and lo <= out[-1][1]:
             out[-1][1] = max(out[-1][1], hi)
         else:
@@ -284,7 +323,7 @@ def fit_model(lines: int = LINES, seed: int = 5) -> ChainCRF:
     writer, crf, data = _Writer(seed), ChainCRF(["credential"]), []
     for _ in range(lines):
         text, spans = writer.text()
-        for lo, hi in windows(text):
+        for lo, hi in windows(text, 4):
             toks = tokens(text[lo:hi])
             y = []
             for s, e, a in toks:
@@ -323,17 +362,24 @@ class Finder:
                         self.cache.clear()
                     spans = self.cache[key] = self.crf.spans(self.crf.viterbi(self.crf.emissions(_features(list(key))))) if key else []
                 for a, b, _ in spans:
-                    s, e = part[a][0] + lo, part[b - 1][1] + lo
+                    s, e = part[a][0] + lo, _whole(text, lo, part[b - 1][1] + lo)
                     if _real(text[s:e]) and (not out or s >= out[-1][1]):
                         out.append((s, e))
         return out
 
 
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with every credential's letters and digits replaced, all else (quotes, line ends, length) kept."""
+    """The text with every credential's letters and digits replaced, all else (quotes, joints of pieces, line ends, length) kept."""
     parts, at = [], 0
     for s, e in spans:
-        parts += [text[at:s], re.sub(r"(?<!\\)[A-Za-z0-9+/=]", "x", text[s:e])]
+        parts.append(text[at:s])
+        at = s
+        for joint in [*_JOINT.finditer(text, s, e), None]:
+            stop = joint.start() if joint else e
+            parts.append(re.sub(r"(?<!\\)[A-Za-z0-9+/=]", "x", text[at:stop]))
+            if joint:
+                parts.append(joint.group())
+                at = joint.end()
         at = e
     return "".join(parts) + text[at:]
 
