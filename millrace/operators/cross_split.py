@@ -85,22 +85,48 @@ def _cross_pairs(buckets: DataFrame, sides: DataFrame, threshold: float) -> Data
     return held.join(train, ["bucket", "block"]).where(near).select("u", "v").distinct()
 
 
-def containment(cases: DataFrame, *, threshold: float = THRESHOLD, n: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
-    """Per directly alike evaluation and training prompt: shared n-grams over the evaluation record's n-grams.
-
-    One row per pair of differing texts that reaches the threshold directly; ids are the records' least ids
-    of that text and side. Equal texts are one node and have containment 1.
+def _sided(cases: DataFrame, blobs: DataFrame | None, n: int, min_words: int) -> tuple[DataFrame, DataFrame]:
+    """``sets`` of the prompts and impl files, and ``who(field, fp, side, id, case_id, size)``: the records of each set."""
+    sides = cases.select("case_id", split_side(F.col("split")).alias("side")).where("side is not null").distinct()
+    texts = cases.select(F.col("case_id").alias("id"), "prompt").join(sides.select(F.col("case_id").alias("id")).distinct(), "id", "left_semi")
+    found = nodes(texts, "id", {"prompt": "prompt"}, n=n, min_words=min_words)
+    owner = cases.select(F.lit("prompt").alias("field"), F.col("case_id").cast("string").alias("id"), "case_id")
+    if blobs is not None:
+        impl = blobs.where("role = 'impl'").join(sides.select("case_id").distinct(), "case_id", "left_semi")
+        found = found.unionByName(nodes(impl, "blob_id", {"content": "content"}, n=n, min_words=min_words))
+        owner = owner.unionByName(impl.select(F.lit("content").alias("field"), F.col("blob_id").cast("string").alias("id"), "case_id"))
+    sets = materialize(found, "ngrams")
+    who = sets.select("field", "id", "fp", "size").join(owner.distinct(), ["field", "id"]).join(sides, "case_id")
+    return sets, who.select("field", "fp", "side", "id", "case_id", "size").distinct()
+
+
+def containment(cases: DataFrame, blobs: DataFrame | None = None, *, threshold: float = THRESHOLD, n: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
+    """Per directly alike evaluation and training text: shared n-grams over the evaluation record's n-grams.
+
+    ``(eval_id, train_id, containment, field)``: field is `prompt` (ids are case_id) or, with ``blobs``, `content` (ids
+    are the blob_id of impl files, whose side is that of their case). One row per pair of texts that reaches the
+    threshold directly; ids are the records' least ids of that text and side, whose other records
+    ``containment_members`` lists. Equal texts are one node and have containment 1.
     """
-    sides = cases.select("case_id", "prompt", split_side(F.col("split")).alias("side")).where("side is not null")
-    sets = materialize(nodes(sides, "case_id", {"prompt": "prompt"}, n=n, min_words=min_words), "ngrams")
-    who = sets.select("id", "fp", "size").join(sides.select(F.col("case_id").alias("id"), "side").distinct(), "id")
-    who = materialize(who.groupBy("fp", "side").agg(F.min("id").alias("id"), F.first("size").alias("size")), "sides")
+    sets, who = _sided(cases, blobs, n, min_words)
+    who = materialize(who.groupBy("field", "fp", "side").agg(F.min("id").alias("id"), F.first("size").alias("size")), "sides")
     pairs = materialize(_cross_pairs(prefix_buckets(sets, threshold), who.select("fp", "side", "size"), threshold), "pairs")
     need = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     arrays = materialize(sets.select("fp", "size", "grams").join(need, "fp", "left_semi").dropDuplicates(["fp"]), "arrays")
     links = compare_nodes(pairs, arrays, threshold)
     e, t = who.where("side = 'eval'"), who.where("side = 'train'")
-    near = links.select("u", "v", "common").join(e.select(F.col("fp").alias("u"), F.col("id").alias("eval_id"), "size"), "u").join(t.select(F.col("fp").alias("v"), F.col("id").alias("train_id")), "v")
-    same = e.select("fp", F.col("id").alias("eval_id"), "size").join(t.select("fp", F.col("id").alias("train_id")), "fp").withColumn("common", F.col("size"))
-    cols = ["eval_id", "train_id", (F.col("common") / F.col("size")).alias("containment")]
+    near = links.select("u", "v", "common").join(e.select(F.col("fp").alias("u"), F.col("id").alias("eval_id"), "size", "field"), "u").join(t.select(F.col("fp").alias("v"), F.col("id").alias("train_id")), "v")
+    same = e.select("fp", F.col("id").alias("eval_id"), "size", "field").join(t.select("fp", F.col("id").alias("train_id")), "fp").withColumn("common", F.col("size"))
+    cols = ["eval_id", "train_id", (F.col("common") / F.col("size")).alias("containment"), "field"]
     return near.select(*cols).unionByName(same.select(*cols))
+
+
+def containment_members(cases: DataFrame, blobs: DataFrame | None = None, *, n: int = 3, min_words: int = MIN_WORDS) -> DataFrame:
+    """``(field, side, representative, id, case_id)``: every record of the text that ``containment`` names by its least id.
+
+    One row per record, side and case, also of texts that are in no row of ``containment``.
+    """
+    _, who = _sided(cases, blobs, n, min_words)
+    who = materialize(who, "members")
+    least = who.groupBy("field", "fp", "side").agg(F.min("id").alias("representative"))
+    return who.join(least, ["field", "fp", "side"]).select("field", "side", "representative", "id", "case_id")

@@ -22,7 +22,12 @@ def p3_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_containment(spark: SparkSession, d: str) -> DataFrame:
-    return cross_split.containment(table(spark, d, "cases"))
+    return cross_split.containment(table(spark, d, "cases"), table(spark, d, "file_blobs"))
+
+
+def p3_members(spark: SparkSession, d: str) -> DataFrame:
+    """The records behind each id of ``p3_containment``."""
+    return cross_split.containment_members(table(spark, d, "cases"), table(spark, d, "file_blobs"))
 
 
 def _p6_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -41,5 +46,5 @@ def p6_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups.join(named, ["field", "group"]).select("field", "id", "representative", "members")
 
 
-QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p3_containment": p3_containment, "p6_found": p6_found, "p6_groups": p6_groups}
+QUERIES = {"p3_found": p3_found, "p3_counts": p3_counts, "p3_containment": p3_containment, "p3_members": p3_members, "p6_found": p6_found, "p6_groups": p6_groups}
 ORACLES: dict[str, str] = {}

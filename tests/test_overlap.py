@@ -166,3 +166,16 @@ def test_containment_equals_brute_force(spark, block, monkeypatch):
             least.setdefault((side(s), frozenset(grams)), i)
     want = {(i, j): len(a & b) / len(a) for (s, a), i in least.items() for (x, b), j in least.items() if (s, x) == ("eval", "train") and len(a & b) >= 0.6 * len(a | b)}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_containment_of_files_and_members(spark):
+    words = [f"c{i}" for i in range(50)]
+    code, near = " ".join(words), " ".join([*words[:20], "new", *words[21:]])
+    cases = spark.createDataFrame([("a", code, "train"), ("b", "short", "dev"), ("c", None, "test"), ("d", code, None), ("e", code, "Train")], "case_id string, prompt string, split string")
+    blobs = spark.createDataFrame([("1", "a", code, "impl"), ("2", "e", code, "impl"), ("3", "b", near, "impl"), ("4", "c", near, "impl"), ("5", "c", code, "test"), ("6", "d", code, "impl"), ("7", "c", None, "impl"), ("8", "c", code, "impl")], "blob_id string, case_id string, content string, role string")
+    got = {(r.field, r.eval_id, r.train_id): r.containment for r in cross_split.containment(cases, blobs).collect()}
+    a, b = triples(near)[0], triples(code)[0]
+    assert got == {("content", "3", "1"): pytest.approx(len(a & b) / len(a)), ("content", "8", "1"): 1}
+    members = sorted(map(tuple, cross_split.containment_members(cases, blobs).collect()))
+    assert members == [("content", "eval", "3", "3", "b"), ("content", "eval", "3", "4", "c"), ("content", "eval", "8", "8", "c"), ("content", "train", "1", "1", "a"), ("content", "train", "1", "2", "e"), ("prompt", "train", "a", "a", "a"), ("prompt", "train", "a", "e", "e")]
+    assert cross_split.containment(cases.limit(0), blobs.limit(0)).count() == 0
