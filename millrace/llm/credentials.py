@@ -361,9 +361,12 @@ class Finder:
                     if len(self.cache) >= _CACHE_MAX:
                         self.cache.clear()
                     spans = self.cache[key] = self.crf.spans(self.crf.viterbi(self.crf.emissions(_features(list(key))))) if key else []
-                for a, b, _ in spans:
-                    s, e = part[a][0] + lo, _whole(text, lo, part[b - 1][1] + lo)
-                    if _real(text[s:e]) and (not out or s >= out[-1][1]):
+                for first, stop, _ in spans:
+                    s, e = part[first][0] + lo, _whole(text, lo, part[stop - 1][1] + lo)
+                    if _real(text[s:e]):
+                        while out and s < out[-1][1]:  # the same value, seen in two parts
+                            a, b = out.pop()
+                            s, e = min(s, a), max(e, b)
                         out.append((s, e))
         return out
 
