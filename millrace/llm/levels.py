@@ -75,10 +75,13 @@ def _nodes(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
                 yield first + i, int(count[i]), shares[i], (key[cut[i] : cut[i + 1]] % NODES).astype(np.int32)
 
 
+_NON_LATIN = re.compile("[Ͱ-\U0010ffff]+")
+
+
 def _is_english(text: str, shares: np.ndarray) -> bool:
     if shares[0] < 0.03 or shares[0] <= 1.5 * shares[1:].max():
         return False
-    return sum(c >= "Ͱ" for c in text[:: max(1, len(text) // 2000)]) < 0.2 * min(len(text), 2000)
+    return sum(map(len, _NON_LATIN.findall(text))) < 0.2 * len(text)
 
 
 def english_prose(df: DataFrame, id_col: str, text_col: str, min_words: int = MIN_WORDS) -> DataFrame:

@@ -205,3 +205,10 @@ def test_value_across_two_parts_of_a_long_window():
     finally:
         credentials._features = real
     assert spans == [(toks[part - 3][0], toks[part + 2][1])]
+
+
+def test_share_of_other_scripts_is_of_the_whole_text():
+    shares = np.array([0.2, 0.0])
+    for n in (1000, 3000, 3999, 9000):
+        few, many = int(0.15 * n), int(0.25 * n)
+        assert levels._is_english("中" * few + "a" * (n - few), shares) and not levels._is_english("中" * many + "a" * (n - many), shares)
