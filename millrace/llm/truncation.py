@@ -3,10 +3,13 @@
 1. Length hazards. Per source, field and unit (code points, bytes) windows over the length histogram give the
    hazard of every length (texts of that length over texts at least as long) and that of its neighbours. A Poisson
    test against the neighbours and Benjamini-Hochberg control over all lengths of a field leave significant lengths.
-2. Endings. A logistic model of how whole texts end is fitted on a bounded sample of the corpus itself: the texts as
-   they stand against the same texts cut at random places.
-3. A text counts as cut if the odds of its ending, times the prior odds of its length, exceed one. The prior is
-   the excess share of the hazard at significant lengths, and a small fixed rate of cuts in transfer elsewhere.
+2. Endings. A logistic model of how texts end, fitted on a bounded sample of the corpus itself: the texts as they
+   stand against the same texts cut at random places. The texts as they stand hold some cuts, which are set aside in
+   rounds. Features are computed from whole texts in the workers, for fitting and for scoring alike.
+   Every text is judged by a model that did not learn it.
+3. A text counts as cut if the odds of its ending, times the odds that a text of its group is cut, exceed one. The
+   groups are the significant lengths of a source, and all its other texts; their rates are estimated from the endings,
+   beginning at the excess share of the hazard, and at ``TRANSFER_RATE`` where no length stands out.
 """
 
 from __future__ import annotations
@@ -20,19 +23,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import materialize
 
-#: Texts per field read to fit the ending model, the only bounded sample,
-#: and the characters kept of each of them, so that what the driver fits on is bounded; scoring reads whole texts.
-SAMPLE, SAMPLE_CHARS = 8000, 4000
-#: Neighbouring lengths on each side, the false-discovery rate, and the share of texts cut in transfer that is assumed.
-NEIGHBOURS, FDR, TRANSFER_RATE = 25, 1e-3, 0.05
-#: Passes of the fit, and the largest share of texts of ordinary length that may be set aside as unlabelled cuts.
-EPOCHS, MOST_CUT = 25, 0.06
-_DIM = 1 << 16
+#: Texts per field on which the ending model is fitted, on average: the rows with the least hashes, whole texts.
+SAMPLE = 30_000
+#: Neighbouring lengths on each side, the false-discovery rate, and the share of cut texts from which estimation starts.
+NEIGHBOURS, FDR, TRANSFER_RATE = 25, 1e-3, 0.02
+#: Texts as many as which the starting share of a group counts, and the least share of cut texts a group is taken to have.
+START_WEIGHT, LEAST_RATE = 10, 2e-3
+#: Passes of a fit, and rounds of setting cut texts aside.
+EPOCHS, ROUNDS = 8, 3
+#: Resolution and end of the p-value scale on which false discoveries are counted.
+P_STEPS, P_END = 20, 300
+#: Features seen less often in the examples are not used.
+LEAST_SEEN = 3
 _TAIL = 600
 
 _MARK = re.compile(r"(?:\s*(?:\[(?:truncated|cut|clipped|\.\.\.|…)[^\]\n]{0,30}\]|<truncated>|\((?:truncated|cut off)\))|…)\s*$", re.I)
@@ -62,40 +69,60 @@ def _open(line: str) -> str:
     return "".join(depth)[-2:]
 
 
-def features(text: str, vocab: frozenset[str], prefixes: frozenset[str]) -> list[str]:
-    """Names of the features of a text's ending."""
+def features(text: str, vocab: frozenset[str], prefixes: frozenset[str], context: str = "") -> list[str]:
+    """Names of the features of a text's ending; ``context`` is the kind of text (a suffix, a role)."""
     mark = bool(_MARK.search(text[-60:]))
     body = _MARK.sub("", text) if mark else text
     tail = body[-_TAIL:]
     nl = len(tail) - len(tail.rstrip("\r\n"))
     tail = tail.rstrip()
-    line = tail[tail.rfind("\n") + 1 :]
+    cut = tail.rfind("\n")
+    line, above = tail[cut + 1 :], tail[tail.rfind("\n", 0, max(cut, 0)) + 1 : max(cut, 0)].rstrip()
     gutter = bool(_GUTTER.match(line))
     bullet = line.lstrip()[:2] in ("- ", "* ")
-    words = [_shape(w, vocab) for w in _WORD.findall(line[-160:])][-4:]
-    last = line.split()[-1] if line.split() else ""
+    code = _GUTTER.sub("", line, count=1) if gutter else line
+    words = [_shape(w, vocab) for w in _WORD.findall(code[-160:])][-4:]
+    last = code.split()[-1] if code.split() else ""
     kind = "g" if gutter else "b" if bullet else "p"
     end = tail[-1:] or "∅"
     endk = end if not end.isalnum() else "9" if end.isdigit() else "a" if end.islower() else "A" if end.isupper() else "字"
     seg = re.split(r"[.!?。！？]\s|\n", tail)[-1]
+    ends = nl > 0
+    fence = body.count("```") % 2
+    depth = sum(body.count(c) for c in "([{") - sum(body.count(c) for c in ")]}")
+    balance = f"{min(max(depth, -2), 3)}{'{' if body.count('{') > body.count('}') else ''}"
+    indent = len(code) - len(code.lstrip())
+    head = code.split()[:2]
     f = [
         f"e={endk}",
-        f"en={endk}|{kind}|{nl > 0}",
-        f"w1={kind}{words[-1:]}",
-        f"w2={kind}{words[-2:]}",
+        f"en={endk}|{kind}|{ends}",
+        f"ce={context}|{endk}|{ends}|{kind}",
+        f"w1={kind}{words[-1:]}|{ends}",
+        f"w2={kind}{words[-2:]}|{ends}",
         f"w3={kind}{words[-3:]}",
         f"w4={words[-4:]}",
-        f"l1={line.split()[:2]}|{endk}|{len(line) == len(tail)}",
-        f"open={_open(line)}|{nl > 0}",
-        f"tick={line.replace('```', '').count('`') % 2}{line.count(chr(34)) % 2}|{nl > 0}",
+        f"l1={head}|{endk}|{cut < 0}",
+        f"l2={head[:1]}|{endk}|{words[-1:]}",
+        f"up={above[-1:]}|{above.split()[:1] if len(above) < 60 else ''}|{endk}|{ends}",
+        f"ind={min(indent, 13)}|{endk}|{ends}|{kind}",
+        f"open={_open(line)}|{ends}",
+        f"bal={balance}|{context}|{endk}|{ends}",
+        f"bn={balance}|{context}",
+        f"tick={line.replace('```', '').count('`') % 2}{line.count(chr(34)) % 2}|{ends}",
         f"sys={body.count('<system-reminder>') > body.count('</system-reminder>')}",
-        f"fence={body.count('```') % 2}",
+        f"fence={fence}",
+        f"fe={fence}|{endk}|{line.startswith('```')}",
         f"nw={min(len(seg.split()), 12)}|{endk}",
         f"len={min(len(body).bit_length(), 9)}|{endk}",
     ]
-    if endk in "aA":
+    if endk in "aA9字":
         known = last in vocab
-        f += [f"known={known}|{last in prefixes}|{kind}", f"n={len(last)}|{known}"]
+        token = re.search(r"\w+$", last)
+        token = token.group() if token else ""
+        # Elsewhere in the text: the last token as it stands, or only longer ones that begin with it.
+        again = body.find(token, 0, max(0, len(body.rstrip()) - len(token))) if len(token) >= 3 else -1
+        stands = "-" if again < 0 else "whole" if re.search(rf"(?<!\w){re.escape(token)}(?!\w)", body[: len(body.rstrip()) - len(token)]) else "part"
+        f += [f"known={known}|{last in prefixes}|{kind}", f"n={min(len(last), 12)}|{known}", f"again={stands}|{known}", f"shape={_shape(last, vocab)}|{context}|{ends}"]
     if seg and len(seg) < 50:
         f.append("seg=" + re.sub(r"\d+", "9", seg))
     if mark:
@@ -104,81 +131,172 @@ def features(text: str, vocab: frozenset[str], prefixes: frozenset[str]) -> list
 
 
 def _slots(names: list[str]) -> list[int]:
-    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) % _DIM for n in names]
-
-
-def _fit(rows: list[list[int]], y: np.ndarray, chosen: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Weights of a balanced logistic model over hashed features, by AdaGrad."""
-    weights, grad2 = np.zeros(_DIM), np.full(_DIM, 1e-3)
-    pos = min(max(float(y[chosen].mean()) if len(chosen) else 0.5, 1e-3), 1 - 1e-3)
-    order = chosen.copy()
+    return [zlib.crc32(n.encode("utf-8", "surrogatepass")) - (1 << 31) for n in names]
+
+
+def _matrix(rows: list[list[int]], kept: np.ndarray) -> np.ndarray:
+    """Places of the rows' features among the sorted slots ``kept``; others, and the filling, are at ``len(kept)``."""
+    width = max((len(r) for r in rows), default=1)
+    out = np.full((len(rows), width), len(kept), np.int32)
+    if not rows or not len(kept):
+        return out
+    n = np.array([len(r) for r in rows])
+    flat = np.fromiter((v for r in rows for v in r), np.int64, int(n.sum()))
+    at = np.minimum(np.searchsorted(kept, flat), len(kept) - 1)
+    out[np.repeat(np.arange(len(rows)), n), np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)] = np.where(kept[at] == flat, at, len(kept))
+    return out
+
+
+def _fit(x: np.ndarray, y: np.ndarray, share: np.ndarray, size: int, rng: np.random.Generator) -> np.ndarray:
+    """Weights of a logistic model by AdaGrad; ``share`` weighs rows, and both classes count the same in all."""
+    weights, grad2 = np.zeros(size + 1), np.full(size + 1, 1e-2)
+    pull = share * np.where(y == 1, 0.5 / max(share[y == 1].sum(), 1e-9), 0.5 / max(share[y == 0].sum(), 1e-9)) * len(y)
     for _ in range(EPOCHS):
-        rng.shuffle(order)
-        for i in range(0, len(order), 64):
-            batch = order[i : i + 64]
-            at = [rows[b] for b in batch]
-            n = np.array([len(a) for a in at])
-            flat = np.concatenate(at)
-            z = np.add.reduceat(weights[flat], np.r_[0, np.cumsum(n)[:-1]])
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * np.where(y[batch] == 1, 0.5 / pos, 0.5 / (1 - pos))
-            hit, where = np.unique(flat, return_inverse=True)
-            g = np.bincount(where, weights=np.repeat(err, n)) + 1e-5 * weights[hit]
+        order = rng.permutation(len(y))
+        for i in range(0, len(order), 128):
+            batch = order[i : i + 128]
+            at = x[batch]
+            z = weights[at].sum(1)
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) * pull[batch]
+            hit, where = np.unique(at, return_inverse=True)
+            g = np.bincount(where.ravel(), weights=np.repeat(err, at.shape[1])) + 1e-2 * weights[hit]
+            g[hit == size] = 0
             grad2[hit] += g * g
-            weights[hit] -= 0.3 * g / np.sqrt(grad2[hit])
+            weights[hit] -= 0.1 * g / np.sqrt(grad2[hit])
     return weights
 
 
-def fit_endings(texts: list[str], seed: int = 7) -> tuple[frozenset[str], frozenset[str], np.ndarray]:
-    """Vocabulary, its prefixes and the weights of the ending model."""
+def group_rate(z: np.ndarray, n: np.ndarray, start: float, rounds: int = 25) -> float:
+    """The share of cut texts of a group by expectation maximisation over the log odds ``z`` of ``n`` texts each.
+
+    The share it starts from counts as much as ``START_WEIGHT`` texts.
+    """
+    rate = start = min(max(start, LEAST_RATE), 0.999)
+    for _ in range(rounds):
+        q = 1 / (1 + np.exp(-np.clip(z + math.log(rate / (1 - rate)), -40, 40)))
+        rate = min(max(float((q * n).sum() + START_WEIGHT * start) / float(n.sum() + START_WEIGHT), LEAST_RATE), 0.999)
+    return rate
+
+
+def calibrate(seen: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and their log odds of a cut against a whole text, rising; for interpolation.
+
+    From the histograms of the scores of observed and of cut texts, none of them learned by the model that scored it. The
+    observed are whole texts and a share of cut ones: no more than their tail allows, against the tail of the cut texts.
+    """
+    if not len(seen) or not len(cut):
+        return np.array([0.0]), np.array([-9.0])
+    rate = min(float((seen > t).mean()) / float((cut > t).mean()) for t in np.quantile(cut, (0.03, 0.05, 0.1)) - 1e-9)
+    edges = np.r_[-np.inf, np.arange(-11, 12), np.inf]
+    o, c = np.histogram(seen, edges)[0] / len(seen), np.histogram(cut, edges)[0] / len(cut)
+    whole = np.maximum(o - rate * c, 0.5 / len(seen))
+    blocks: list[list[float]] = []  # pooled neighbours, until the odds rise
+    for a, b in zip(c + 0.5 / len(cut), whole):
+        blocks.append([a, b, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            a1, b1, k = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + a1, blocks[-1][1] + b1, blocks[-1][2] + k]
+    odds = np.concatenate([[math.log(a / b)] * int(k) for a, b, k in blocks])
+    # Where no whole text is left to count, the odds go on rising as the model's own.
+    at = np.arange(-11.5, 12)
+    least = whole <= 0.5 / len(seen)
+    if least[-1]:
+        first = len(least) - int(np.argmin(least[::-1])) if not least.all() else 0
+        odds[first:] = np.maximum(odds[first:], odds[first] + at[first:] - at[first])
+    return at, odds
+
+
+def fit_endings(whole: list[list[int]], cut: list[list[int]], half_of: list[int], seed: int = 7) -> tuple[np.ndarray, list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """Slots, two weight vectors and the calibration of the ending model, from the features of texts as they stand and of texts cut at random.
+
+    ``half_of`` tells the half (0 or 1) of every text, the observed ones first; weights ``k`` were fitted on the other half, and are
+    for texts of half ``k``, so that no text is judged by a model that learned it. The texts as they stand hold cuts: those
+    that a model of the other half finds as cut as nineteen in twenty of the random cuts are no examples of whole ones, nor
+    are random cuts that fell on an ending examples of cut ones.
+    """
     rng = np.random.default_rng(seed)
-    df = Counter(w for t in texts for w in set(_WORD.findall(t[-2000:])))
-    vocab = frozenset(w for w, n in df.items() if n >= max(5, len(texts) // 400) and len(w) <= 16)
+    slots, count = np.unique(np.fromiter((v for r in whole + cut for v in r), np.int64), return_counts=True)
+    kept = slots[count >= LEAST_SEEN]
+    x = _matrix(whole + cut, kept)
+    y = np.r_[np.zeros(len(whole)), np.ones(len(cut))]
+    half, share, seen = np.array(half_of), np.ones(len(y)), y == 0
+    models = [np.zeros(len(kept) + 1)] * 2
+    for k in range(ROUNDS):
+        z = np.zeros(len(y))
+        for h in (0, 1):
+            other = half != h
+            models[h] = _fit(x[other], y[other], share[other], len(kept), rng)
+            z[~other] = models[h][x[~other]].sum(1)
+        share[seen] = (z[seen] <= (np.quantile(z[~seen], 0.05) if len(cut) else 0.0)).astype(float)
+        share[~seen] = np.where(z[~seen] < -4, 0.0, 1.0)
+    return kept, models, calibrate(z[seen], z[~seen])
+
+
+def _vocabulary(sample: DataFrame) -> frozenset[str]:
+    """Words of the sampled texts' ends that at least one text in 400, and five texts, hold; counted in the workers."""
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df: Counter = Counter()
+        for batch in it:
+            for t in batch.column(0).to_pylist():
+                df.update({w for w in _WORD.findall((t or "")[-2000:]) if len(w) <= 16})
+        yield pa.RecordBatch.from_arrays([pa.array(list(df), pa.string()), pa.array(list(df.values()), pa.int64())], names=["w", "n"])
+
+    n = sample.count()
+    words = sample.select("t").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")).where(F.col("n") >= max(5, n // 400))
+    return frozenset(r.w for r in words.select("w").collect())
+
+
+def _examples(sample: DataFrame, vocab: frozenset[str]) -> tuple[list[list[int]], list[list[int]], list[int]]:
+    """Feature slots of the sampled texts as they stand, and cut at a place drawn from their hash; and the halves of both."""
     prefixes = frozenset(w[:i] for w in vocab for i in range(1, len(w)))
-    rows, labels = [], []
-    for t in texts:
-        rows.append(_slots(features(t, vocab, prefixes)))
-        labels.append(0)
-        if len(t) >= 60:
-            cut = t[: int(len(t) * rng.uniform(0.25, 0.97))]
-            if rng.random() < 0.15:
-                cut += ("…", " [truncated]")[int(rng.integers(2))]
-            names = features(cut, vocab, prefixes)
-            rows.append(_slots(names))
-            labels.append(1)
-    y = np.array(labels, float)
-    # Each half is judged by a model of the other: whole texts that look cut are unlabelled cuts, and random
-    # cuts that look whole fell on an ending. Neither is learned from.
-    fold = np.array([zlib.crc32(str(sorted(r)).encode()) & 1 for r in rows])
-    keep = np.ones(len(y), bool)
-    for half in (0, 1):
-        w = _fit(rows, y, np.flatnonzero(fold != half), rng)
-        z = np.array([w[r].sum() for r in rows])
-        mine = (fold == half) & (y == 0)
-        doubt = max(2.0, float(np.quantile(z[mine], 1 - MOST_CUT))) if mine.any() else 2.0
-        keep &= ~((mine & (z > doubt)) | ((fold == half) & (y == 1) & (z < -4)))
-    weights = _fit(rows, y, np.flatnonzero(keep), rng)
-    return vocab, prefixes, weights
-
-
-def _scored(df: DataFrame, id_col: str, text_col: str, field: str, model) -> DataFrame:
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            whole, cut = [], []
+            for t, h, c in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                rng = np.random.default_rng(h & (1 << 63) - 1)
+                whole.append(_slots(features(t, vocab, prefixes, c or "")))
+                cut.append([])
+                if len(t) >= 60:
+                    part = t[: int(len(t) * rng.uniform(0.2, 0.98))]
+                    if rng.random() < 0.15:
+                        part += ("…", " [truncated]")[int(rng.integers(2))]
+                    cut[-1] = _slots(features(part, vocab, prefixes, c or ""))
+            ints = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(whole, ints), pa.array(cut, ints)], names=["h", "whole", "cut"])
+
+    got = sample.select("t", "h", "context").mapInArrow(run, "h long, whole array<int>, cut array<int>").orderBy("h").toArrow()
+    half, cuts = [_half(h) for h in got["h"].to_pylist()], got["cut"].to_pylist()
+    return got["whole"].to_pylist(), [r for r in cuts if r], half + [h for h, r in zip(half, cuts) if r]
+
+
+def _half(h: int) -> int:
+    """The half to which a text of hash ``h`` belongs."""
+    return h >> 40 & 1
+
+
+def _scored(df: DataFrame, field: str, model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, prefixes, weights = model.value
+        vocab, kept, weights, scale = model.value
+        prefixes = frozenset(w[:i] for w in vocab for i in range(1, len(w)))
         for batch in it:
-            ids, clients, texts = (batch.column(i).to_pylist() for i in range(3))
-            keep = [i for i, t in enumerate(texts) if t]
-            z = [float(weights[_slots(features(texts[i], vocab, prefixes))].sum()) for i in keep]
+            ids, clients, contexts, texts, hashes = (batch.column(i).to_pylist() for i in range(5))
+            rows = _matrix([_slots(features(t, vocab, prefixes, c or "")) for t, c in zip(texts, contexts)], kept)
+            half = np.array([_half(h) for h in hashes], bool)
+            z = np.where(half, weights[1][rows].sum(1), weights[0][rows].sum(1)) if len(texts) else np.zeros(0)
+            z = np.interp(z, *scale)
             cols = [
-                pa.array([ids[i] for i in keep], pa.string()),
-                pa.array([field] * len(keep), pa.string()),
-                pa.array([clients[i] or "" for i in keep], pa.string()),
-                pa.array([len(texts[i]) for i in keep], pa.int64()),
-                pa.array([len(texts[i].encode("utf-8", "surrogatepass")) for i in keep], pa.int64()),
+                pa.array(ids, pa.string()),
+                pa.array([field] * len(ids), pa.string()),
+                pa.array(clients, pa.string()),
+                pa.array([len(t) for t in texts], pa.int64()),
+                pa.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], pa.int64()),
                 pa.array(z, pa.float64()),
             ]
             yield pa.RecordBatch.from_arrays(cols, names=["record_id", "field", "client", "chars", "bytes", "z"])
 
-    cols = [F.col(id_col).cast("string"), F.col("client").cast("string"), F.col(text_col).cast("string")]
-    return df.select(*cols).mapInArrow(run, "record_id string, field string, client string, chars long, bytes long, z double")
+    return df.select("id", "client", "context", "t", "h").mapInArrow(run, "record_id string, field string, client string, chars long, bytes long, z double")
 
 
 def _poisson_tail(n: int, mean: float) -> float:
@@ -221,41 +339,71 @@ def length_hazards(texts: DataFrame, neighbours: int = NEIGHBOURS, fdr: float =
         return pd.Series([_poisson_tail(int(a), float(b)) for a, b in zip(n, mean)])
 
     hist = hist.withColumn("p", tail("n", F.col("near") * F.col("at_risk")))
+    # Benjamini-Hochberg over the steps of a fixed p-value scale, whose number does not grow with the data: the
+    # largest step of which the share of lengths at or below it, times the rate, is no less than its upper end.
+    step = F.least(F.floor(-F.log10(F.greatest("p", F.lit(10.0**-P_END))) * P_STEPS), F.lit(P_STEPS * P_END)).cast("int")
+    hist = hist.withColumn("step", step)
+    steps = hist.groupBy("field", "unit", "step").agg(F.count("*").alias("k"))
     by = Window.partitionBy("field", "unit")
-    rank, total = F.row_number().over(by.orderBy("p", "client", "length")), F.count("*").over(by)
-    passed = F.when(F.col("p") <= fdr * rank / total, rank)
-    hist = hist.withColumn("rank", rank).withColumn("last", F.max(passed).over(by))
+    below = F.sum("k").over(by.orderBy(F.col("step").desc()))
+    steps = steps.select("field", "unit", "step", (F.pow(F.lit(10.0), -F.col("step") / P_STEPS) <= fdr * below / F.sum("k").over(by)).alias("ok"))
+    least = steps.where("ok").groupBy("field", "unit").agg(F.min("step").alias("least"))
+    hist = hist.join(F.broadcast(least), ["field", "unit"], "left")  # a row per field and unit
     excess = 1 - F.col("near") * F.col("at_risk") / F.col("n")
-    return hist.select("field", "client", "unit", "length", "n", "at_risk", "hazard", "near", "p", F.coalesce(F.col("rank") <= F.col("last"), F.lit(False)).alias("significant"), excess.alias("excess"))
+    return hist.select("field", "client", "unit", "length", "n", "at_risk", "hazard", "near", "p", F.coalesce(F.col("step") >= F.col("least"), F.lit(False)).alias("significant"), excess.alias("excess"))
+
 
+def _rates(rows: DataFrame, start: float) -> DataFrame:
+    """``(field, client, spike, rate)``: the share of cut texts of each group, from a histogram of its log odds."""
+    bins = rows.groupBy("field", "client", "spike", F.floor(F.col("z") * 4).alias("b")).agg(F.count("*").alias("n"), F.first("excess").alias("excess"))
+    groups = bins.groupBy("field", "client", "spike").agg(F.collect_list(F.struct("b", "n")).alias("h"), F.first("excess").alias("excess"))
 
-def truncated(sources: list[tuple[DataFrame, str, str, str]], *, sample: int = SAMPLE, fdr: float = FDR, transfer_rate: float = TRANSFER_RATE) -> DataFrame:
-    """``(record_id, field, client, chars, z, prior, cut)`` of every non-empty text of ``(table, id, text, field)`` sources.
+    @F.pandas_udf("double")
+    def rate(h: pd.Series, excess: pd.Series) -> pd.Series:
+        out = []
+        for row, e in zip(h, excess):
+            row = sorted((r["b"], r["n"]) for r in row)
+            z, n = (np.array([r[0] for r in row], float) + 0.5) / 4, np.array([r[1] for r in row], float)
+            out.append(group_rate(z, n, start if e is None or e != e else e))
+        return pd.Series(out)
 
-    Null and empty texts are left out; a null client is a source of its own, named ''; repeated rows count once.
+    return groups.select("field", "client", "spike", rate("h", "excess").alias("rate"))
+
+
+def truncated(sources: list[tuple[DataFrame, str, str, str] | tuple[DataFrame, str, str, str, Column]], *, sample: int = SAMPLE, fdr: float = FDR, transfer_rate: float = TRANSFER_RATE) -> DataFrame:
+    """``(record_id, field, client, chars, z, prior, cut)`` of every non-empty text of ``(table, id, text, field[, context])`` sources.
+
+    ``context`` is a column that tells kinds of text apart (a role, a suffix). Null and empty texts are left out; a null client is a source
+    of its own, named ''; repeated rows count once.
     """
-    sizes = None
-    for df, _, text_col, field in sources:
+    narrow, sizes = [], None
+    for df, id_col, text_col, field, *kind in sources:
+        context = kind[0] if kind else F.lit("")
         t = F.col(text_col).cast("string")
-        one = df.where(t != "").select(F.lit(field).alias("field"), F.coalesce("client", F.lit("")).alias("client"), F.char_length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), F.xxhash64(t).alias("mark"))
-        sizes = one if sizes is None else sizes.unionByName(one)
+        one = df.where(t != "").select(F.col(id_col).cast("string").alias("id"), F.coalesce(F.col("client").cast("string"), F.lit("")).alias("client"), context.cast("string").alias("context"), t.alias("t"), F.xxhash64(F.col(id_col).cast("string"), t).alias("h"))
+        narrow.append((one, field))
+        t = F.col("t")
+        size = one.select(F.lit(field).alias("field"), "client", F.char_length(t).cast("long").alias("chars"), F.octet_length(t).cast("long").alias("bytes"), F.xxhash64(t).alias("mark"))
+        sizes = size if sizes is None else sizes.unionByName(size)
     spikes = materialize(length_hazards(sizes, fdr=fdr).where("significant and excess > 0.5").select("field", "client", "unit", "length", "excess"), "spikes")
-    parts = None
-    for df, id_col, text_col, field in sources:
-        spark = df.sparkSession
-        known = spikes.where((F.col("field") == field) & (F.col("unit") == "chars")).select(F.col("client").alias("c"), F.col("length").alias("l"))
-        some = df.select(F.col(id_col).alias("id"), F.coalesce("client", F.lit("")).alias("c"), F.col(text_col).cast("string").alias("t")).where("t <> ''")
-        some = some.withColumn("l", F.char_length("t").cast("long")).join(known.where("l > 100"), ["c", "l"], "left_anti").orderBy(F.xxhash64("id"), "id").limit(sample)
-        texts = sorted({r.t for r in some.select(F.expr(f"right(t, {SAMPLE_CHARS})").alias("t")).collect()})
-        model = spark.sparkContext.broadcast(fit_endings(texts))
-        one = _scored(df, id_col, text_col, field, model)
-        parts = one if parts is None else parts.unionByName(one)
-    rows = materialize(parts, "endings").distinct()
     chars = spikes.where("unit = 'chars'").select("field", "client", F.col("length").alias("chars"), F.col("excess").alias("xc"))
     size = spikes.where("unit = 'bytes'").select("field", "client", F.col("length").alias("bytes"), F.col("excess").alias("xb"))
-    rows = rows.join(chars, ["field", "client", "chars"], "left").join(size, ["field", "client", "bytes"], "left")
-    spike = F.greatest(F.coalesce("xc", F.lit(0.0)), F.coalesce("xb", F.lit(0.0)))
-    rows = rows.withColumn("prior", F.least(F.greatest(spike, F.lit(transfer_rate)), F.lit(0.999)))
+    parts = None
+    for one, field in narrow:
+        limits = spikes.where((F.col("field") == field) & (F.col("length") > 100)).select("client", "unit", "length").distinct()
+        rows = one.count()
+        some = one.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(rows, 1)))))
+        for unit, measure in (("chars", F.char_length("t")), ("bytes", F.octet_length("t"))):
+            some = some.withColumn("length", measure.cast("long")).join(limits.where(F.col("unit") == unit).select("client", "length"), ["client", "length"], "left_anti")
+        some = materialize(some.select("t", "h", "context"), "sample")
+        vocab = _vocabulary(some)
+        scored = _scored(one, field, one.sparkSession.sparkContext.broadcast((vocab, *fit_endings(*_examples(some, vocab)))))
+        parts = scored if parts is None else parts.unionByName(scored)
+    rows = parts.distinct().join(chars, ["field", "client", "chars"], "left").join(size, ["field", "client", "bytes"], "left")
+    by_bytes = F.coalesce("xb", F.lit(0.0)) > F.coalesce("xc", F.lit(0.0))
+    spike = F.when(by_bytes, F.concat(F.lit("bytes "), F.col("bytes"))).when(F.col("xc").isNotNull(), F.concat(F.lit("chars "), F.col("chars"))).otherwise("")
+    rows = materialize(rows.select("record_id", "field", "client", "chars", "z", spike.alias("spike"), F.greatest("xc", "xb").alias("excess")), "endings")
+    rows = rows.join(_rates(rows, transfer_rate), ["field", "client", "spike"]).withColumnRenamed("rate", "prior")
     odds = F.col("z") + F.log(F.col("prior") / (1 - F.col("prior")))
     return rows.withColumn("cut", odds > 0).select("record_id", "field", "client", "chars", "z", "prior", "cut")
 

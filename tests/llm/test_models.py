@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import credentials, levels, pii, truncation
 from millrace.llm.crf import ChainCRF
@@ -159,6 +160,30 @@ def test_truncated(spark):
     assert rates["capped"] > 0.1 and rates["free"] < 0.02
 
 
+def test_odd_endings_that_recur_are_whole(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(rng.randint(1, 3)))
+    prose = lambda: " ".join(" ".join(word() for _ in range(rng.randint(5, 11))).capitalize() + "." for _ in range(rng.randint(3, 9)))
+    odd = ["\n\n```\n<<<<<<< HEAD\n{}(\n=======\n```\n", "\nNumber: 0049-30-{}", "\nReviewed: {}"]
+    rows = []
+    for i in range(2500):
+        t = prose()
+        rows.append((f"o{i}", t + odd[i % 3].format(rng.randint(10**7, 10**8) if i % 3 == 1 else word()), "a", "md") if i % 20 == 0 else (f"w{i}", t, "a", "txt"))
+        if i % 50 == 1:
+            rows.append((f"c{i}", t[: int(len(t) * rng.uniform(0.3, 0.9))].rstrip(" .") + " " + word()[:2], "a", "txt"))
+    df = spark.createDataFrame(rows, "id string, body string, client string, kind string")
+    out = {r.record_id: r.cut for r in truncation.truncated([(df, "id", "body", "body", F.col("kind"))]).collect()}
+    share = lambda k: sum(v for i, v in out.items() if i[0] == k) / sum(i[0] == k for i in out)
+    assert share("o") < 0.05 and share("w") < 0.01 and share("c") > 0.8
+
+
+def test_false_discoveries_are_counted_per_field(spark):
+    rows = [("f", "c", n, n, 1000 * n + k) for n in range(50, 90) for k in range(10)] + [("f", "c", 70, 70, k) for k in range(200)] + [("g", "c", n, n, n) for n in range(50, 90)]
+    got = truncation.length_hazards(spark.createDataFrame(rows, "field string, client string, chars long, bytes long, mark long"))
+    assert {(r.field, r.length) for r in got.where("significant").collect()} == {("f", 70)}
+    assert truncation.length_hazards(spark.createDataFrame([], "field string, client string, chars long, bytes long, mark long")).count() == 0
+
+
 def test_cue_search_equals_pattern_scan(sf):
     import pandas as pd
 
