@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,9 +77,7 @@ def largest_remainder(shares: dict[str, float], total: int, rotate: int = 0) ->
 def quota_select(items: DataFrame, column: str, shares: dict[str, float], total: int) -> DataFrame:
     """The best ``quota`` items of every class of ``column``; a class too small is not filled up from others."""
     want = largest_remainder(shares, total)
-    limit = F.create_map(*[x for k, v in want.items() for x in (F.lit(k), F.lit(v))])
-    w = Window.partitionBy(column).orderBy(*rank_order())
-    return items.where(F.col(column).isin(*want)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit[F.col(column)])
+    return top_per_class(items.where(F.col(column).isin(*want)), column, want)
 
 
 def quota_shortfall(selected: DataFrame, column: str, shares: dict[str, float], total: int) -> DataFrame:
@@ -88,14 +88,109 @@ def quota_shortfall(selected: DataFrame, column: str, shares: dict[str, float],
 
 
 def p_buckets(items: DataFrame) -> DataFrame:
-    """Counts of p_hat in four buckets, zeros kept: [0,.25) [.25,.5) [.5,.75) [.75,1]."""
-    at = F.least(F.floor(F.col("p_hat") * 4), F.lit(3))
+    """Counts of p_hat in [0, .2) [.2, .5) [.5, .8) [.8, 1], zeros kept; a null counts as 0."""
+    p = F.coalesce("p_hat", F.lit(0.0))
+    names = ["0.0-0.2", "0.2-0.5", "0.5-0.8", "0.8-1.0"]
+    at = F.when(p < 0.2, 0).when(p < 0.5, 1).when(p < 0.8, 2).otherwise(3)
     wide = items.agg(*[F.count_if(at == i).alias(f"b{i}") for i in range(4)])
-    names = ["0.00-0.25", "0.25-0.50", "0.50-0.75", "0.75-1.00"]
     return wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("bucket"), F.col(f"b{i}").alias("n")) for i, n in enumerate(names)])).alias("b")).select("b.*")
 
 
-def reuse_plan(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """``(case_id, fingerprint, reusable)``: whether an equal case with an equal fingerprint was measured before."""
-    old = previous.select("case_id", "fingerprint").distinct().withColumn("_old", F.lit(True))
+def reuse_plan(current: DataFrame, previous: DataFrame, *, panel: str | None = None, scheme: str = "", never: DataFrame | None = None) -> DataFrame:
+    """``(case_id, fingerprint, reusable)``: whether the case was measured before with this fingerprint.
+
+    With ``panel`` only rows of ``previous`` of that panel count; fingerprints must begin with ``scheme``; cases listed in
+    ``never`` are measured anew.
+    """
+    old = previous if panel is None else previous.where(F.col("panel") == panel)
+    old = old.where(F.col("fingerprint").startswith(scheme)).select("case_id", "fingerprint").distinct().withColumn("_old", F.lit(True))
+    if never is not None:
+        old = old.join(never.select("case_id").distinct(), "case_id", "left_anti")
     return current.join(old, ["case_id", "fingerprint"], "left").select("case_id", "fingerprint", F.coalesce("_old", F.lit(False)).alias("reusable"))
+
+
+def fill_quota(items: DataFrame, column: str, shares: dict[str, float], total: int) -> DataFrame:
+    """The best of every class up to its rounded share, topped up by rank from the rest, ranked over all and cut at ``total``.
+
+    Shares are rounded half to even. At most ``total`` rows of each class and of all are ranked, so the windows stay small.
+    """
+    want = {k: round(v * total) for k, v in shares.items()}
+    best = top_per_class(items, column, {**{k: max(v, total) for k, v in want.items()}}, other=total)
+    limit = F.coalesce(F.create_map(*[x for k, v in want.items() for x in (F.lit(k), F.lit(v))])[F.col(column)], F.lit(0)) if want else F.lit(0)
+    first = F.when(F.col("rank") <= limit, 0).otherwise(1)
+    chosen = best.orderBy(first, *rank_order()).limit(total)
+    return chosen.drop("rank").withColumn("rank", F.row_number().over(Window.orderBy(*rank_order())))  # at most ``total`` rows
+
+
+def top_per_class(items: DataFrame, column: str, limits: dict[str, int], other: int = 0) -> DataFrame:
+    """The best rows of each class with their rank; classes without a limit keep ``other`` rows.
+
+    Every class is cut by its own literal limit before the window ranks it, in the mappers first.
+    """
+    label = F.coalesce(F.col(column).cast("string"), F.lit(""))
+    parts = [items.where(label == k).orderBy(*rank_order()).limit(n) for k, n in limits.items() if n > 0]
+    if other > 0:
+        most = max(other, 1)
+        rest = items.where(~label.isin(*limits)) if limits else items
+        parts.append(rest.withColumn("_r", F.row_number().over(Window.partitionBy(column).orderBy(*rank_order()))).where(F.col("_r") <= most).drop("_r"))
+    if not parts:
+        return items.limit(0).withColumn("rank", F.lit(0))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy(column).orderBy(*rank_order())))
+
+
+def nested_quota(items: DataFrame, shares: dict[str, float], total: int, tier_shares: dict[str, float]) -> DataFrame:
+    """Band quotas (`hard`, `mid`, `easy`) with tier quotas inside each band, topped up by rank within the band only."""
+    bands = largest_remainder(shares, total)
+    order = list(BANDS)
+    out = []
+    for band, want in bands.items():
+        if want:
+            turn = order.index(band) if band in order else 0
+            tiers = largest_remainder(tier_shares, want, turn)
+            rows = top_per_class(items.where(F.col("band") == band), "tier", {k: want for k in tiers}, other=want)
+            limit = F.coalesce(F.create_map(*[x for k, v in tiers.items() for x in (F.lit(k), F.lit(v))])[F.col("tier")], F.lit(0))
+            out.append(rows.orderBy(F.when(F.col("rank") <= limit, 0).otherwise(1), *rank_order()).limit(want).drop("rank"))
+    return reduce(DataFrame.unionByName, out) if out else items.limit(0)
+
+
+def merge_reused(new: DataFrame, reused: DataFrame, expected: int) -> DataFrame:
+    """New and reused item rows, new ones first per case, with verdicts and bands judged again; rows without attempts are not counted as measured."""
+    rows = new.withColumn("_new", F.lit(True)).unionByName(reused.withColumn("_new", F.lit(False)), allowMissingColumns=True)
+    others = [c for c in rows.columns if c not in ("case_id", "_new", "reasons", "keep", "band")]
+    one = rows.groupBy("case_id").agg(F.max_by(F.struct(*others), F.col("_new")).alias("r")).select("case_id", "r.*")
+    measured = F.coalesce(F.size(F.map_keys("by_anchor")), F.lit(0)) if "by_anchor" in one.columns else F.coalesce("measured", F.lit(0))
+    reasons = verdict_reasons(F.col("p_hat"), F.col("point_biserial"), measured, F.lit(expected))
+    return one.withColumn("reasons", reasons).withColumn("keep", F.size("reasons") == 0).withColumn("band", difficulty_band(F.col("p_hat")))
+
+
+def select_cases(items: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kept items joined to their source cases, and the kept ids that the source lacks."""
+    keep = items.where("keep").dropDuplicates(["case_id"])
+    return source.join(keep, "case_id"), keep.select("case_id").join(source.select("case_id"), "case_id", "left_anti")
+
+
+def unfit_anchors(anchors: DataFrame, tiers: DataFrame) -> DataFrame:
+    """``(anchor, tier, missing)``: axes a tier requires that the anchor declares not to move; undeclared anchors (null) are left out.
+
+    ``anchors(anchor, axes)`` and ``tiers(tier, required)`` are panels of a few rows.
+    """
+    both = anchors.where("axes is not null").crossJoin(F.broadcast(tiers))  # five rows
+    return both.select("anchor", "tier", F.array_sort(F.array_except("required", "axes")).alias("missing")).where("size(missing) > 0")
+
+
+def missing_anchors(configured: DataFrame, runs: DataFrame) -> DataFrame:
+    """Configured anchors of which no row was measured or reused."""
+    return configured.select("anchor").distinct().join(runs.select("anchor").distinct(), "anchor", "left_anti")
+
+
+def parse_shares(text: str) -> dict[str, float]:
+    """``"T2=0.3, T3=0.7"`` as shares between 0 and 1 that sum to 1, within a hundredth."""
+    pairs = [p.split("=", 1) for p in text.split(",") if p.strip()]
+    if any(len(p) != 2 for p in pairs):
+        raise ValueError("a share reads name=number")
+    shares = {k.strip(): float(v) for k, v in pairs}
+    largest_remainder(shares, 0)
+    return shares
+
+

@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.stats import wilson
+from millrace.session import materialize
 
 _OK = "not coalesce(infra_error, false)"
+#: Budgets of one cost curve; more are refused, none are dropped.
+MAX_RUNGS = 1000
 
 
 def label(c: Column, missing: str = "unknown") -> Column:
@@ -78,17 +81,29 @@ def scaling(folded: DataFrame) -> DataFrame:
 
 
 def budget_rungs(results: DataFrame, fractions: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 1.0)) -> DataFrame:
-    """Distinct nearest-rank token quantiles of the usable rows, ascending, numbered from 0."""
-    tokens = F.coalesce("total_tokens", F.lit(0))
-    each = [F.expr(f"percentile_disc({f}) within group (order by coalesce(total_tokens, 0))").cast("long") for f in fractions]
-    rungs = results.where(_OK).agg(F.count(tokens).alias("n"), F.array_sort(F.array_distinct(F.array(*each))).alias("r")).where("n > 0")
+    """Distinct nearest-rank token quantiles of the usable rows, ascending, numbered from 0.
+
+    Rows are counted by token number first; ranks are running sums over a range sort of the distinct numbers, with
+    the offsets of the ranges added, so no buffer holds all rows.
+    """
+    tokens = F.coalesce("total_tokens", F.lit(0)).cast("long")
+    counts = results.where(_OK).groupBy(tokens.alias("t")).agg(F.count("*").alias("n"))
+    ranged = materialize(counts.repartitionByRange("t").withColumn("part", F.spark_partition_id()), "rungs")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").agg(F.sum("n").alias("m")).select("part", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("start"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("t"))
+    rows = ranged.withColumn("upto", upto).join(F.broadcast(starts), "part")  # a row per range
+    least = [F.min(F.when(F.col("start") + F.col("upto") >= F.greatest(F.ceil(F.lit(f) * F.col("total")), F.lit(1)), F.col("t"))) for f in fractions]
+    rungs = rows.agg(F.array_sort(F.array_distinct(F.array_compact(F.array(*least)))).alias("r"))
     return rungs.select(F.posexplode("r").alias("rung", "budget"))
 
 
 def cost_curve(results: DataFrame, rungs: DataFrame) -> DataFrame:
     """``(run_id, budget, solved, n, share)``: share of usable rows passed within each budget; rungs are a handful of rows."""
     rows = results.where(_OK).select("run_id", F.coalesce("passed", F.lit(False)).alias("passed"), F.coalesce("total_tokens", F.lit(0)).alias("tokens"))
-    budgets = [r.budget for r in rungs.select("budget").orderBy("budget").limit(1000).collect()]
+    budgets = [r.budget for r in rungs.select("budget").distinct().orderBy("budget").limit(MAX_RUNGS + 1).collect()]
+    if len(budgets) > MAX_RUNGS:
+        raise ValueError(f"a cost curve has at most {MAX_RUNGS} budgets")
     if not budgets:
         return rows.select("run_id", F.lit(0).cast("long").alias("budget"), F.lit(0).cast("long").alias("solved"), F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("share")).limit(0)
     wide = rows.groupBy("run_id").agg(F.count("*").alias("n"), *[F.count_if(F.col("passed") & (F.col("tokens") <= b)).alias(f"b{i}") for i, b in enumerate(budgets)])
@@ -116,6 +131,7 @@ def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row per key under a total order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    """The first row per key under a total order; combined in the mappers, so a hot key moves one row per mapper."""
+    others = [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(*order)).alias("r"))
+    return best.select(*keys, "r.*").select(*rows.columns)

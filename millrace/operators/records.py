@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,30 +11,118 @@ from pyspark.sql import functions as F
 SUFFIXES = {"py": "python", "pyi": "python", "js": "javascript", "mjs": "javascript", "cjs": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "json": "json", "toml": "toml", "md": "markdown", "yaml": "yaml", "yml": "yaml"}
 
 
+# User-agent marker, tools that show coding, and the words of a coding task.
+_AGENT = r"(?i)User-Agent:\s*([^|,\]]+)"
+CODING_TOOLS = ["bash", "read", "write", "edit", "glob", "grep", "ast_grep_search", "ast_grep_replace", "interactive_bash", "lsp_diagnostics", "file_write", "file_fetch", "exec"]
+CODING_AGENTS = r"(?i)opencode|codegenie"
+_WITH_TOOLS = r"(?i)(代码|实现|修复|重构|函数|bug|fix|implement|refactor|class |def |import |编译|测试|pytest|error)"
+_ALONE = r"(?i)(实现|修复|重构|bug|fix|implement|refactor|写一个|编写一个|python|代码|函数|算法)"
+_SESSION = r"(?i)(实现|修复|重构|bug|fix|implement|refactor|add test|写个|改一下|报错)"
+#: Characters kept of a prompt.
+PROMPT_CHARS = 8000
+
+
+def part_text(v: str) -> str:
+    """SQL: the text of one part of a message's content, a variant: its text, else its content, else its JSON."""
+    kind = f"schema_of_variant({v})"
+    return f"CASE WHEN {kind} LIKE 'OBJECT%' THEN coalesce(try_variant_get({v}, '$.text', 'string'), CASE WHEN try_variant_get({v}, '$.type', 'string') = 'text' OR is_variant_null(variant_get({v}, '$.text', 'variant')) THEN '' END, try_variant_get({v}, '$.content', 'string'), CASE WHEN is_variant_null(variant_get({v}, '$.content', 'variant')) THEN '' END, to_json({v})) WHEN {kind} = 'STRING' THEN CAST({v} AS STRING) ELSE to_json({v}) END"
+
+
+def content_text(v: str) -> str:
+    """SQL: the text of a message's content, a variant: a string, a list of parts joined by line ends, an object's text or its JSON; '' of null."""
+    kind = f"schema_of_variant({v})"
+    return f"""CASE WHEN {v} IS NULL OR is_variant_null({v}) THEN '' WHEN {kind} = 'STRING' THEN CAST({v} AS STRING)
+      WHEN {kind} LIKE 'ARRAY%' THEN array_join(transform(try_variant_get({v}, '$', 'array<variant>'), x -> {part_text("x")}), '\n')
+      WHEN {kind} LIKE 'OBJECT%' THEN coalesce(try_variant_get({v}, '$.text', 'string'), to_json({v})) ELSE to_json({v}) END"""
+
+
 def normalized_messages(records: DataFrame, history: str = "full_history") -> DataFrame:
-    """``(request_id, pos, role, content, is_list)`` of every object in a valid JSON history.
+    """``(request_id, pos, role, content, name, tool_calls)`` of every object in a JSON history, in its order.
 
-    Histories that are null, empty, cut or no list give nothing; a missing role is `unknown`; content that is no
-    string stays JSON text, lists of parts being marked.
+    Histories that are null, empty, cut or no list give nothing, parts that are no objects are left out; a missing role
+    is `unknown`; content is text (``content_text``); tool calls stay JSON, `[]` if there are none.
     """
-    rows = records.select("request_id", F.try_parse_json(F.col(history)).alias("v")).where("v is not null and schema_of_variant(v) like 'ARRAY%'")
-    rows.createOrReplaceTempView("_millrace_history")
-    return rows.sparkSession.sql("""
-        SELECT request_id, pos, coalesce(try_variant_get(value, '$.role', 'string'), 'unknown') AS role,
-               try_variant_get(value, '$.content', 'string') AS content,
-               coalesce(schema_of_variant(try_variant_get(value, '$.content', 'variant')) LIKE 'ARRAY%', false) AS is_list
-        FROM _millrace_history, LATERAL variant_explode(v) WHERE schema_of_variant(value) LIKE 'OBJECT%'""")
+    v = F.try_parse_json(F.col(history))
+    rows = records.select("request_id", v.alias("v")).where("v is not null and schema_of_variant(v) like 'ARRAY%'")
+    items = rows.selectExpr("request_id", "posexplode(try_variant_get(v, '$', 'array<variant>')) AS (pos, m)").where("schema_of_variant(m) like 'OBJECT%'")
+    fields = items.selectExpr("request_id", "pos", "m", "try_variant_get(m, '$.content', 'variant') AS c")
+    return fields.selectExpr(
+        "request_id", "pos", "coalesce(nullif(try_variant_get(m, '$.role', 'string'), ''), 'unknown') AS role", f"{content_text('c')} AS content",
+        "try_variant_get(m, '$.name', 'string') AS name", "coalesce(to_json(try_variant_get(m, '$.tool_calls', 'variant')), '[]') AS tool_calls",
+    )
 
 
 def user_agent(tags: Column) -> Column:
-    """The product name of the user agent in the tags, lower case, without its version; null if there is none."""
-    agent = F.coalesce(F.get_json_object(tags, "$.user_agent"), F.regexp_extract(tags, r"User-Agent: ?([^\s\",]+)", 1))
-    return F.nullif(F.lower(F.substring_index(agent, "/", 1)), F.lit(""))
+    """What follows `User-Agent:` in the tags, up to a bar, comma or bracket; else `opencode` if that is named anywhere; else null.
+
+    Tags are a JSON list of strings, or any text.
+    """
+    each = F.from_json(tags, "array<string>")
+    blob = F.coalesce(F.when(F.ltrim(tags).startswith("["), F.array_join(each, " | ")), tags, F.lit(""))
+    agent = F.nullif(F.trim(F.regexp_extract(blob, _AGENT, 1)), F.lit(""))
+    return F.coalesce(agent, F.when(F.lower(blob).contains("opencode"), "opencode"))
 
 
 def tool_names(tools: Column) -> Column:
-    """Names in a JSON list of tools; null for null or bad JSON."""
-    return F.filter(F.from_json(tools, "array<string>"), lambda x: x.isNotNull())
+    """Names of the objects in a JSON list of tools: `function.name`, else `name`; empty for anything else."""
+    rows = F.from_json(tools, "array<struct<name:string,function:struct<name:string>>>")
+    named = F.transform(rows, lambda t: F.coalesce(F.nullif(t["function"]["name"], F.lit("")), F.nullif(t["name"], F.lit(""))))
+    return F.coalesce(F.array_compact(named), F.array().cast("array<string>"))
+
+
+def is_coding_record(agent: Column, tools: Column, text: Column) -> Column:
+    """Whether a record is about code: by its agent, by a coding tool together with its words, or by its words alone."""
+    text = F.coalesce(text, F.lit(""))
+    held = F.coalesce(F.arrays_overlap(tools, F.array(*map(F.lit, CODING_TOOLS))), F.lit(False))
+    return F.coalesce(agent.rlike(CODING_AGENTS), F.lit(False)) | (held & text.rlike(_WITH_TOOLS)) | text.rlike(_ALONE)
+
+
+def user_texts(messages: Column) -> Column:
+    """Contents of the user turns of an array of messages with role and content, in order."""
+    return F.transform(F.filter(messages, lambda m: m["role"].isin("user", "human")), lambda m: F.coalesce(m["content"], F.lit("")))
+
+
+def is_coding_session(messages: Column) -> Column:
+    """Whether the user turns of a session name a coding task."""
+    return F.coalesce(F.array_join(user_texts(messages), "\n").rlike(_SESSION), F.lit(False))
+
+
+def primary_prompt(texts: Column, limit: int = PROMPT_CHARS) -> Column:
+    """The task out of the user turns of a session: reminders and metadata are dropped; with several turns the last one if it
+    has 20 characters, else the first and the last; '' without any."""
+    def clean(t: Column) -> Column:
+        t = F.regexp_replace(_strip(t), r"(?is)<system-reminder>.*?</system-reminder>", "")
+        return F.when(t.startswith("text:"), _strip(F.substring(t, 6, 1 << 30))).otherwise(t)
+
+    kept = F.filter(F.transform(texts, clean), lambda t: (F.length(t) >= 4) & ~t.startswith("Sender (untrusted metadata)"))
+    first, last = F.try_element_at(kept, F.lit(1)), F.try_element_at(kept, F.lit(-1))
+    chosen = F.when((first == last) | (F.length(last) >= 20), last).otherwise(F.concat(first, F.lit("\n\n"), last))
+    return F.substring(F.coalesce(chosen, F.lit("")), 1, limit)
+
+
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
+def guess_language(prompt: Column, paths: Column, fences: Column) -> Column:
+    """Language named in the prompt, else that of the first file with a known suffix, else of the first known fence, else python."""
+    p = F.lower(F.coalesce(prompt, F.lit("")))
+    has = lambda *words: [p.contains(w) for w in words]
+    either = lambda *cs: reduce(lambda a, b: a | b, cs)
+    named = (
+        F.when(either(*has("python", "pytest", ".py")), "python").when(either(*has("typescript", ".ts")), "typescript").when(either(*has("javascript", ".js")), "javascript")
+        .when(p.contains("java"), "java").when(either(*has("cangjie", ".cj")), "cangjie")
+    )
+    suffix = lambda x: F.when(x.endswith(".py"), "python").when(x.endswith(".ts"), "typescript").when(x.endswith(".js"), "javascript").when(x.endswith(".cj"), "cangjie")
+    tag = lambda x: F.when(x.isin("python", "py"), "python").when(x.isin("ts", "typescript"), "typescript").when(x.isin("js", "javascript"), "javascript")
+    first = lambda xs, f: F.try_element_at(F.array_compact(F.transform(xs, f)), F.lit(1))
+    return F.coalesce(named, first(paths, suffix), first(fences, tag), F.lit("python"))
+
+
+def split_side(split: Column) -> Column:
+    """`train`, `eval` or null of a split written in any case and with any blanks; unknown names are null."""
+    name = F.lower(F.regexp_replace(split, r"\s", ""))
+    return F.when(name == "train", "train").when(name.isin("dev", "test", "holdout"), "eval")
 
 
 def base_name(path: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import stats
-from millrace.operators import blind, calibration, compare, cross_split, outcomes, records, text, traces
+from millrace.operators import blind, calibration, compare, gates, outcomes, records, text, traces
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,7 +133,7 @@ def item_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _round(_round(out, "p_hat", "spread"), "point_biserial", digits=5)
 
 
-@_query(f"""WITH {_CAL} SELECT b AS bucket, count(case_id) AS n FROM (VALUES ('0.00-0.25', 0), ('0.25-0.50', 1), ('0.50-0.75', 2), ('0.75-1.00', 3)) v(b, i) LEFT JOIN judged ON least(CAST(floor(p_hat*4) AS INT), 3) = i GROUP BY 1""")
+@_query(f"""WITH {_CAL}, ph AS (SELECT coalesce(p_hat, 0) AS p FROM judged) SELECT b.bucket, (SELECT count(*) FROM ph WHERE ph.p >= b.lo AND (ph.p < b.hi OR b.hi = 1)) AS n FROM (VALUES ('0.0-0.2', 0.0, 0.2), ('0.2-0.5', 0.2, 0.5), ('0.5-0.8', 0.5, 0.8), ('0.8-1.0', 0.8, 1)) b(bucket, lo, hi)""")
 def p_buckets(spark: SparkSession, d: str) -> DataFrame:
     return calibration.p_buckets(_items(spark, d))
 
@@ -214,27 +214,36 @@ def repair_rounds(spark: SparkSession, d: str) -> DataFrame:
     return traces.repair_rounds(table(spark, d, "events").withColumn("kind", kind), "user_id", ["ts", "event_id"])
 
 
-_MSG = "m AS (SELECT DISTINCT ON (msg_id) * FROM messages)"
-_KINDS = "CASE WHEN lower(trim(name)) IN ('read','open','cat','view') THEN 'read' WHEN lower(trim(name)) IN ('grep','glob','find','search','list','ls') THEN 'search' WHEN lower(trim(name)) IN ('edit','patch','replace','str_replace') THEN 'edit' WHEN lower(trim(name)) IN ('write','create') THEN 'write' WHEN lower(trim(name)) IN ('bash','run','exec','shell','test') THEN 'run' ELSE 'other' END"
+_MSG = "m AS (SELECT DISTINCT ON (msg_id) *, lower(trim(role)) AS r FROM messages)"
+_KINDS = "CASE WHEN lower(trim(name)) IN ('read','view','cat','open','file_read','list','ls','glob','readfile') THEN 'read' WHEN lower(trim(name)) IN ('grep','search','ripgrep','rg','find','ast_grep_search','codebase_search') THEN 'search' WHEN lower(trim(name)) IN ('write','edit','multiedit','file_write','patch','apply_patch','str_replace','str_replace_editor','ast_grep_replace') THEN 'edit' WHEN lower(trim(name)) IN ('bash','exec','shell','run','run_command','interactive_bash','terminal') THEN 'exec' ELSE 'other' END"
+_SIGNALS = f"""{_MSG}, c AS (SELECT request_id, c."function".name AS name, c."function".arguments AS args FROM (SELECT request_id, unnest(tool_calls) AS c FROM m)), k AS (SELECT request_id, lower(name) AS name, json_extract_string(args, '$.filePath') AS path, {_KINDS} AS kind FROM c WHERE name <> ''),
+  b AS (SELECT request_id, count(*) FILTER (r IN ('user', 'human')) AS user_turns, count(*) FILTER (r = 'assistant') AS assistant_turns, count(*) FILTER (r = 'tool' AND regexp_matches(coalesce(content, ''), 'Traceback \\(most recent call last\\)|AssertionError|\\bFAILED\\b|\\bERROR\\b|SyntaxError|ImportError|ModuleNotFoundError|TypeError|\\bexit(?:\\s+code)?[=:\\s]+[1-9]')) AS error_signals FROM m GROUP BY 1),
+  g AS (SELECT request_id, count(*) AS tool_calls, count(*) FILTER (kind = 'read') AS read_ops, count(*) FILTER (kind = 'search') AS search_ops, count(*) FILTER (kind = 'edit') AS edit_ops, count(*) FILTER (kind = 'exec') AS exec_ops, count(DISTINCT CASE WHEN kind = 'edit' THEN path END) AS files_touched,
+    count(DISTINCT CASE WHEN kind = 'read' THEN path END) AS files_read, array_to_string(list_sort(list(DISTINCT name)), ',') AS tools FROM k GROUP BY 1),
+  sig AS (SELECT b.request_id, user_turns, assistant_turns, error_signals, coalesce(tool_calls, 0) AS tool_calls, coalesce(read_ops, 0) AS read_ops, coalesce(search_ops, 0) AS search_ops, coalesce(edit_ops, 0) AS edit_ops, coalesce(exec_ops, 0) AS exec_ops, coalesce(files_touched, 0) AS files_touched, coalesce(files_read, 0) AS files_read, coalesce(tools, '') AS tools FROM b LEFT JOIN g USING (request_id))"""
 
 
-@_query(f"""WITH {_MSG}, c AS (SELECT request_id, c."function".name AS name FROM (SELECT request_id, unnest(tool_calls) AS c FROM m)), k AS (SELECT request_id, name, {_KINDS} AS kind FROM c),
-  b AS (SELECT request_id, count(*) AS messages, count(*) FILTER (lower(trim(role)) IN ('user', 'human')) AS user_turns, count(*) FILTER (lower(trim(role)) IN ('tool', 'function') AND regexp_matches(lower(coalesce(content, '')), 'error|failed|traceback|exception')) AS error_signals FROM m GROUP BY 1),
-  g AS (SELECT request_id, count(*) FILTER (kind = 'read') AS read_calls, count(*) FILTER (kind = 'edit') AS edit_calls, count(*) FILTER (kind = 'run') AS run_calls, array_to_string(list_sort(list(DISTINCT name)), ',') AS tools FROM k GROUP BY 1)
-  SELECT b.request_id, messages, user_turns, error_signals, coalesce(read_calls, 0) AS read_calls, coalesce(edit_calls, 0) AS edit_calls, coalesce(run_calls, 0) AS run_calls, coalesce(tools, '') AS tools FROM b LEFT JOIN g USING (request_id)""")
+@_query(f"WITH {_SIGNALS} SELECT * FROM sig")
 def trace_signals(spark: SparkSession, d: str) -> DataFrame:
     out = traces.trace_signals(table(spark, d, "messages"))
-    return out.select("request_id", "messages", "user_turns", "error_signals", "read_calls", "edit_calls", "run_calls", F.array_join("tools", ",").alias("tools"))
+    names = ["user_turns", "assistant_turns", "error_signals", "tool_calls", "read_ops", "search_ops", "edit_ops", "exec_ops", "files_touched", "files_read"]
+    return out.select("request_id", *names, F.array_join("distinct_tools", ",").alias("tools"))
 
 
-@_query("""WITH f AS (SELECT doc_id AS case_id, substr(sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')), 1, 16) AS fingerprint, source FROM documents)
+@_query(f"""WITH {_SIGNALS} SELECT CASE WHEN files_touched >= 3 THEN 'T4' WHEN search_ops >= 3 AND files_read >= 5 THEN 'T4' WHEN error_signals >= 1 OR files_read >= 2 OR search_ops >= 1 THEN 'T2' ELSE 'T1' END AS tier, count(*) AS requests FROM sig GROUP BY 1""")
+def suggested_tiers(spark: SparkSession, d: str) -> DataFrame:
+    """Tiers by signals; the tables hold no test commands, so no repair rounds: ``trace_examples`` has the rest."""
+    return traces.suggest_tier(traces.trace_signals(table(spark, d, "messages"))).groupBy("tier").agg(F.count("*").alias("requests"))
+
+
+@_query("""WITH f AS (SELECT doc_id AS case_id, substr(sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || '|'), 1, 16) AS fingerprint, source FROM documents)
   SELECT case_id, fingerprint, fingerprint IN (SELECT fingerprint FROM f WHERE source <> 'issue') AND source <> 'issue' AS reusable FROM f""")
 def reuse_plan(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("case_id"), text.task_fingerprint(F.col("text")).alias("fingerprint"), "source")
     return calibration.reuse_plan(docs.select("case_id", "fingerprint"), docs.where("source <> 'issue'"))
 
 
-@_query("""WITH f AS (SELECT doc_id, source, substr(sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')), 1, 16) AS fingerprint FROM documents)
+@_query("""WITH f AS (SELECT doc_id, source, substr(sha256(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g') || '|'), 1, 16) AS fingerprint FROM documents)
   SELECT doc_id, source, fingerprint FROM (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY doc_id) AS rn FROM f) WHERE rn = 1""")
 def first_wins_dedupe(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "source", text.task_fingerprint(F.col("text")).alias("fingerprint"))
@@ -250,10 +259,16 @@ def verbatim_share(spark: SparkSession, d: str) -> DataFrame:
     return _round(text.verbatim_share(files, "fv_id", "pre", table(spark, d, "file_blobs"), "content"), "share")
 
 
-@_query("""WITH h AS (SELECT source, sha256(CAST(doc_id AS VARCHAR) || ':' || coalesce(title, '')) AS x FROM documents), s AS (SELECT source, count(*) AS n, sum(CAST(('0x' || substr(x, 1, 12)) AS BIGINT)) AS s, sum(CAST(('0x' || substr(x, 13, 12)) AS BIGINT)) AS t FROM h GROUP BY 1)
-  SELECT source, n, substr(sha256(n || ':' || s || ':' || t), 1, 16) AS fingerprint FROM s""")
+@_query("""SELECT split, n, substr(sha256(array_to_string(list_sort(l), chr(10))), 1, 16) AS fingerprint FROM (SELECT coalesce(split, '~') AS split, count(*) AS n, list(case_id || ':' || coalesce(prompt, '')) AS l FROM (SELECT DISTINCT case_id, split, prompt FROM cases) GROUP BY 1)""")
 def set_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    return text.set_fingerprint(table(spark, d, "documents"), "source", "doc_id", "title")
+    c = table(spark, d, "cases").select("case_id", F.coalesce("split", F.lit("~")).alias("split"), "prompt").distinct()
+    return text.set_fingerprint(c, "split", "case_id", "prompt")
+
+
+@_query("""WITH h AS (SELECT source, sha256(CAST(doc_id AS VARCHAR) || ':' || coalesce(title, '')) AS x FROM documents), s AS (SELECT source, count(*) AS n, sum(CAST(('0x' || substr(x, 1, 12)) AS BIGINT)) AS s, sum(CAST(('0x' || substr(x, 13, 12)) AS BIGINT)) AS t FROM h GROUP BY 1)
+  SELECT source, n, substr(sha256(n || ':' || s || ':' || t), 1, 16) AS digest FROM s""")
+def set_digest(spark: SparkSession, d: str) -> DataFrame:
+    return text.set_digest(table(spark, d, "documents"), "source", "doc_id", "title")
 
 
 @_query("""WITH k AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT case_id FROM cases))
@@ -269,8 +284,8 @@ def table_difference(spark: SparkSession, d: str) -> DataFrame:
     return compare.table_difference(f.where("pre is not null").select("fv_id", F.md5("pre").alias("v")), f.where("post is not null").select("fv_id", F.md5("post").alias("v")), "fv_id", "v")
 
 
-@_query(r"""WITH c AS (SELECT DISTINCT case_id, lower(coalesce(prompt, '')) AS p FROM cases) SELECT CASE WHEN regexp_matches(p, '\b(fix|fails?|failing|bug|broken|crash\w*)\b') THEN 'bugfix' WHEN regexp_matches(p, '\b(refactor\w*|rename|extract|clean ?up|simplify)\b') THEN 'refactor'
-  WHEN regexp_matches(p, '\b(tests?|coverage)\b') THEN 'test' WHEN regexp_matches(p, '\b(explain|why|describe)\b') THEN 'explain' ELSE 'feature' END AS task, count(*) AS n FROM c GROUP BY 1""")
+@_query(r"""WITH c AS (SELECT DISTINCT case_id, lower(coalesce(prompt, '')) AS p FROM cases) SELECT CASE WHEN regexp_matches(p, '修复|bug|fix|报错|error|崩溃') THEN 'bugfix' WHEN regexp_matches(p, '重构|refactor|清理') THEN 'refactor'
+  WHEN regexp_matches(p, '测试|test|pytest|单元测试') THEN 'test_gen' WHEN regexp_matches(p, '解释|总结|说明|设计方案') THEN 'explain_to_edit' ELSE 'feature' END AS task, count(*) AS n FROM c GROUP BY 1""")
 def task_types(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "cases").select("case_id", "prompt").distinct()
     return c.groupBy(text.guess_task_type(F.col("prompt")).alias("task")).agg(F.count("*").alias("n"))
@@ -290,7 +305,7 @@ def latest_report(spark: SparkSession, d: str) -> DataFrame:
 
 @_query("""SELECT CASE lower(regexp_replace(split, '\\s', '', 'g')) WHEN 'train' THEN 'train' WHEN 'dev' THEN 'eval' WHEN 'test' THEN 'eval' WHEN 'holdout' THEN 'eval' ELSE 'none' END AS side, count(DISTINCT case_id) AS cases FROM cases GROUP BY 1""")
 def split_sides(spark: SparkSession, d: str) -> DataFrame:
-    side = F.coalesce(cross_split.split_side(F.col("split")), F.lit("none"))
+    side = F.coalesce(records.split_side(F.col("split")), F.lit("none"))
     return table(spark, d, "cases").groupBy(side.alias("side")).agg(F.count_distinct("case_id").alias("cases"))
 
 
@@ -328,23 +343,28 @@ def replayed_edits(spark: SparkSession, d: str) -> DataFrame:
     return traces.replay_edits(table(spark, d, "messages"))
 
 
-@_query("""WITH c AS (SELECT DISTINCT ON (request_id) request_id, full_history FROM chat_records WHERE json_valid(full_history)), m AS (SELECT request_id, unnest(CAST(full_history AS JSON[])) AS m FROM c WHERE json_type(full_history) = 'ARRAY')
-  SELECT request_id, count(*) AS messages, count(*) FILTER (lower(trim(m->>'$.role')) IN ('user', 'human')) AS user_messages, count(*) FILTER (json_type(m, '$.content') = 'ARRAY') AS listed FROM m GROUP BY 1""")
+@_query("""WITH c AS (SELECT DISTINCT ON (request_id) request_id, full_history FROM chat_records WHERE json_valid(full_history)), m AS (SELECT request_id, unnest(CAST(full_history AS JSON[])) AS m FROM c WHERE json_type(full_history) = 'ARRAY'),
+  t AS (SELECT request_id, m->>'$.role' AS role, CASE json_type(m, '$.content') WHEN 'ARRAY' THEN array_to_string(list_transform(CAST(m->'$.content' AS JSON[]), lambda x: coalesce(x->>'$.text', '')), chr(10)) WHEN 'VARCHAR' THEN m->>'$.content' ELSE '' END AS content FROM m)
+  SELECT request_id, count(*) AS messages, count(*) FILTER (role IN ('user', 'human')) AS user_messages, CAST(sum(length(content)) AS BIGINT) AS chars, md5(string_agg(md5(content), ',' ORDER BY md5(content))) AS digest FROM t GROUP BY 1""")
 def history_messages(spark: SparkSession, d: str) -> DataFrame:
     m = records.normalized_messages(table(spark, d, "chat_records").dropDuplicates(["request_id"]))
-    return m.groupBy("request_id").agg(F.count("*").alias("messages"), F.count_if(F.lower(F.trim("role")).isin("user", "human")).alias("user_messages"), F.count_if("is_list").alias("listed"))
+    digest = F.md5(F.array_join(F.array_sort(F.collect_list(F.md5("content"))), ","))
+    return m.groupBy("request_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role").isin("user", "human")).alias("user_messages"), F.sum(F.length("content")).alias("chars"), digest.alias("digest"))
 
 
-@_query("""SELECT coalesce(nullif(lower(split_part(CASE WHEN json_valid(requests_tags) THEN json_extract_string(requests_tags, '$.user_agent') END, '/', 1)), ''), 'none') AS agent, count(DISTINCT request_id) AS requests FROM chat_records GROUP BY 1""")
+@_query("""SELECT CASE WHEN contains(lower(coalesce(requests_tags, '')), 'opencode') THEN 'opencode' ELSE 'none' END AS agent, count(DISTINCT request_id) AS requests FROM chat_records GROUP BY 1""")
 def user_agents(spark: SparkSession, d: str) -> DataFrame:
+    """The tables hold no `User-Agent:` header; ``record_examples`` has some."""
     agent = F.coalesce(records.user_agent(F.col("requests_tags")), F.lit("none"))
     return table(spark, d, "chat_records").groupBy(agent.alias("agent")).agg(F.count_distinct("request_id").alias("requests"))
 
 
-@_query("""SELECT tool, count(DISTINCT request_id) AS requests FROM (SELECT request_id, unnest(from_json(tools, '["VARCHAR"]')) AS tool FROM chat_records WHERE json_valid(tools)) GROUP BY 1""")
+@_query("""WITH m AS (SELECT DISTINCT ON (msg_id) msg_id, tool_calls FROM messages WHERE tool_calls IS NOT NULL), t AS (SELECT msg_id, unnest(tool_calls)."function".name AS tool FROM m) SELECT tool, count(*) AS calls, count(DISTINCT msg_id) AS messages FROM t WHERE tool <> '' GROUP BY 1""")
 def offered_tools(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "chat_records").select("request_id", F.explode(records.tool_names(F.col("tools"))).alias("tool"))
-    return t.groupBy("tool").agg(F.count_distinct("request_id").alias("requests"))
+    """Names read from the JSON form of every message's calls."""
+    t = table(spark, d, "messages").select("msg_id", F.to_json("tool_calls").alias("tools")).dropDuplicates(["msg_id"])
+    t = t.select("msg_id", F.explode(records.tool_names(F.col("tools"))).alias("tool"))
+    return t.groupBy("tool").agg(F.count("*").alias("calls"), F.count_distinct("msg_id").alias("messages"))
 
 
 @_query(r"""WITH f AS (SELECT DISTINCT blob_id, path, regexp_extract(path, '[^/\\]*$') AS name FROM file_blobs), g AS (SELECT *, lower(regexp_extract(name, '\.([A-Za-z]+)$', 1)) AS s FROM f)
@@ -391,13 +411,16 @@ def nearest_files(spark: SparkSession, d: str) -> DataFrame:
     return records.nearest_by_size(table(spark, d, "file_blobs"), "case_id", "blob_id", "content")
 
 
-@_query("""WITH f AS (SELECT DISTINCT case_id, path, content FROM file_blobs WHERE role = 'impl' AND content IS NOT NULL), h AS (SELECT case_id, sha256(path || ':' || md5(content)) AS x FROM f),
-  s AS (SELECT case_id, count(*) AS n, sum(CAST(('0x' || substr(x, 1, 12)) AS BIGINT)) AS s, sum(CAST(('0x' || substr(x, 13, 12)) AS BIGINT)) AS t FROM h GROUP BY 1), k AS (SELECT case_id, substr(sha256(n || ':' || s || ':' || t), 1, 16) AS solution_key FROM s)
-  SELECT solution_key, count(*) AS cases, min(case_id) AS first_case FROM k GROUP BY 1""")
+@_query("""WITH f AS (SELECT DISTINCT case_id, role, path, content FROM file_blobs WHERE role IN ('impl', 'spec')), p AS (SELECT case_id, role, list_sort(list(struct_pack(path := coalesce(path, ''), content := coalesce(content, '')))) AS l FROM f GROUP BY 1, 2),
+  j AS (SELECT case_id, role, '[' || array_to_string(list_transform(l, lambda x: '[' || CAST(to_json(x.path) AS VARCHAR) || ', ' || CAST(to_json(x.content) AS VARCHAR) || ']'), ', ') || ']' AS t FROM p),
+  k AS (SELECT a.case_id, substr(sha256('[' || a.t || ', ' || b.t || ']'), 1, 16) AS solution_key FROM j a JOIN j b ON a.case_id = b.case_id AND a.role = 'impl' AND b.role = 'spec')
+  SELECT coalesce(solution_key, 'none') AS solution_key, count(*) AS cases, min(c.case_id) AS first_case FROM (SELECT DISTINCT case_id FROM file_blobs) c LEFT JOIN k USING (case_id) GROUP BY 1""")
 def solution_keys(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "file_blobs").where("role = 'impl' and content is not null").select("case_id", "path", F.md5("content").alias("c")).distinct()
-    keys = text.set_fingerprint(f, "case_id", "path", "c")
-    return keys.groupBy(F.col("fingerprint").alias("solution_key")).agg(F.count("*").alias("cases"), F.min("case_id").alias("first_case"))
+    """The tables hold no gold files; files of role spec stand for them."""
+    f = table(spark, d, "file_blobs").select("case_id", "role", "path", "content").distinct()
+    side = lambda role: F.filter(F.collect_list(F.struct("role", "path", "content")), lambda x: x["role"] == role)
+    keys = f.groupBy("case_id").agg(side("impl").alias("impl"), side("spec").alias("gold")).select("case_id", F.coalesce(text.solution_key(F.col("impl"), F.col("gold")), F.lit("none")).alias("solution_key"))
+    return keys.groupBy("solution_key").agg(F.count("*").alias("cases"), F.min("case_id").alias("first_case"))
 
 
 @_query("""WITH o AS (SELECT l_returnflag AS anchor, count(*) FILTER (l_tax > 0.075) AS dropped FROM lineitem GROUP BY 1) SELECT * FROM o WHERE dropped > 0""")
@@ -422,14 +445,11 @@ def leaked_key_lines(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("case_id").agg(F.count_distinct("line").alias("lines"), F.count_distinct("blob_id").alias("files"))
 
 
-_MARKS, _TODO = r"(?im)(#|//|/\*).*\b(bug|fixme|hack|xxx)\b", r"(?im)(#|//|/\*).*\btodo\b"
-
-
-@_query(f"""WITH f AS (SELECT DISTINCT fv_id, pre FROM file_versions WHERE pre IS NOT NULL), h AS (SELECT fv_id, regexp_matches(pre, '{_MARKS}') AS marked, regexp_matches(pre, '{_TODO}') AS todo FROM f) SELECT marked, todo, count(*) AS files FROM h GROUP BY 1, 2""")
+@_query(r"""WITH f AS (SELECT DISTINCT blob_id, content FROM file_blobs WHERE content IS NOT NULL), h AS (SELECT regexp_matches(content, '(?i)(?:#|//)\s*(?:BUG|FIXME|XXX|HACK|WRONG|INCORRECT)\b') AS marked, regexp_matches(content, '(?i)(?:#|//)\s*TODO\b') AS todo FROM f) SELECT marked, marked OR todo AS with_todo, count(*) AS files FROM h GROUP BY 1, 2""")
 def bug_markers(spark: SparkSession, d: str) -> DataFrame:
-    """Files with marker comments; open tasks are counted apart."""
-    f = table(spark, d, "file_versions").where("pre is not null").select("fv_id", "pre").distinct()
-    return f.groupBy(F.col("pre").rlike(_MARKS).alias("marked"), F.col("pre").rlike(_TODO).alias("todo")).agg(F.count("*").alias("files"))
+    """Files with defect comments, and with open tasks too; ``marker_examples`` has files that hold some."""
+    f = table(spark, d, "file_blobs").where("content is not null").select("blob_id", "content").distinct()
+    return f.groupBy(gates.has_bug_marker(F.col("content")).alias("marked"), gates.has_bug_marker(F.col("content"), True).alias("with_todo")).agg(F.count("*").alias("files"))
 
 
 @_query()

@@ -5,8 +5,8 @@ from millrace.operators import records
 
 def test_normalized_messages(spark):
     rows = [("a", '[{"role": "user", "content": [{"text": "x"}]}, 3, {"content": null}, {"role": "ai", "content": "\\u00e9"}]'), ("b", "[{cut"), ("c", None), ("d", ""), ("e", "{}"), ("f", "[]")]
-    got = sorted((r.request_id, r.pos, r.role, r.content, r.is_list) for r in records.normalized_messages(spark.createDataFrame(rows, "request_id string, full_history string")).collect())
-    assert got == [("a", 0, "user", '[{"text":"x"}]', True), ("a", 2, "unknown", None, False), ("a", 3, "ai", "é", False)]
+    got = sorted((r.request_id, r.pos, r.role, r.content, r.tool_calls) for r in records.normalized_messages(spark.createDataFrame(rows, "request_id string, full_history string")).collect())
+    assert got == [("a", 0, "user", "x", "[]"), ("a", 2, "unknown", "", "[]"), ("a", 3, "ai", "é", "[]")]
 
 
 def test_columns(spark):

@@ -17,7 +17,7 @@ def call(name, **args):
 
 
 def listing(path, body, footer):
-    return f"<path>{path}</path>\n<type>file</type>\n<content>\n{body}\n{footer}\n</content>"
+    return f"<path>{path}</path>\n<type>file</type>\n<content>\n{body}\n\n{footer}\n</content>"
 
 
 def test_replay(spark):
@@ -36,14 +36,14 @@ def test_replay(spark):
     ]
     out = {r.path.split("/")[-1]: r for r in traces.replay_edits(spark.createDataFrame(rows, MSG)).collect()}
     assert set(out) == {"a.py", "c.py"}
-    assert (out["a.py"].pre, out["a.py"].post, out["a.py"].edits, out["a.py"].pre_origin) == ("x = 1\ny = 2", "x = 3\n", 2, "read_complete")
+    assert (out["a.py"].pre, out["a.py"].post, out["a.py"].edits, out["a.py"].pre_origin) == ("x = 1\ny = 2\n", "x = 3\n\n", 2, "read_complete")
     assert (out["c.py"].pre, out["c.py"].post, out["c.py"].pre_origin) == ("q = 1", "q = 2", "tool_write")
 
 
 def test_signals_and_rounds(spark):
-    rows = [("1", "r", 0, "User ", "hi", None), ("1", "r", 0, "User ", "hi", None), ("2", "r", 1, "assistant", None, call("Bash", cmd="x")), ("3", "r", 2, "tool", "Traceback ...", None)]
+    rows = [("1", "r", 0, "User ", "hi", None), ("1", "r", 0, "User ", "hi", None), ("2", "r", 1, "assistant", None, call("Bash", cmd="x")), ("3", "r", 2, "tool", "Traceback (most recent call last): ...", None)]
     r = traces.trace_signals(spark.createDataFrame(rows, MSG)).first()
-    assert (r.messages, r.user_turns, r.error_signals, r.run_calls, r.tools) == (3, 1, 1, 1, ["Bash"])
+    assert (r.user_turns, r.assistant_turns, r.error_signals, r.exec_ops, r.distinct_tools) == (1, 1, 1, 1, ["bash"])
     for kinds, want in [("tet", 1), ("et", 0), ("tt", 0), ("teett", 1), ("tetet", 2), ("e", 0)]:
         ev = spark.createDataFrame([("k", i, {"t": "test", "e": "edit"}[c]) for i, c in enumerate(kinds)], "key string, i int, kind string")
         assert traces.repair_rounds(ev, "key", ["i"]).first().rounds == want
