@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions import shingles
+from millrace.llm import shingles
 from millrace.session import materialize
 
 BANDS = ("basic", "intermediate", "advanced")

@@ -8,7 +8,7 @@ import importlib.util
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
-_PARTS = ["tokens_queries", "chat_queries", "level_queries", "cut_queries", "pii_queries", "credential_queries", "parse_queries"]
+_PARTS = ["link_queries", "tokens_queries", "chat_queries", "level_queries", "cut_queries", "pii_queries", "credential_queries", "parse_queries"]
 
 for _name in _PARTS:
     if importlib.util.find_spec(f"millrace.llm.{_name}") is not None:
