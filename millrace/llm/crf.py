@@ -33,6 +33,7 @@ class ChainCRF:
                 for i, frm in enumerate(self.labels):
                     if frm[2:] != to[2:]:
                         self.allowed[i, j] = -1e4
+        self.skip = 1.0
         self.start = np.array([-1e4 if x[0] == "I" else 0.0 for x in self.labels])
 
     def emissions(self, feats: Sequence[Sequence[int]]) -> np.ndarray:

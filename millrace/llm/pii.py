@@ -10,6 +10,7 @@ The field is fitted on sentences written by the generator below; no corpus row i
 
 from __future__ import annotations
 
+import functools
 import json
 import random
 import re
@@ -23,8 +24,10 @@ from pyspark.sql import functions as F
 from millrace.llm.crf import ChainCRF, slot
 
 TYPES = ("email", "phone", "id_number", "street_address", "person_name")
-#: Tokens kept on each side of a candidate, training sentences, and the reward of a skip edge.
-SIDE, SENTENCES, SKIP = 6, 1500, 1.0
+#: Tokens kept on each side of a candidate, and training sentences.
+SIDE, SENTENCES = 6, 2000
+#: Rewards of a skip edge among which the fit chooses, on generated texts that repeat a name.
+SKIPS = (0.0, 0.5, 1.0, 1.5, 2.0, 3.0)
 _CACHE_MAX = 200_000
 
 _T = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ]+(?:['’-][A-Z]?[a-zà-öø-ÿ]+)*"
@@ -47,7 +50,8 @@ _CUES = frozenset(
     passport phone piazza ping place plan platz please port prof reach regards report restarted road rd rue row rows run sample said seeded seen sms send sent service
     shift ship show shows signed ssn social st street strasse straße talked tax teacher tel telephone test text texted the this to user version via visited was weg went who with wrote
     zip reviewed reviewed-by review seconds ms s lines port host ip beats wins says asked told thanks escalate escalated reply replied forwarded gateway pin code ticket
-    order invoice batch build hash revision de la del von van der den bei unter nummer telefon anrufen adresse name heißt wohnt correo teléfono llamar dirección vive nombre""".split()
+    order invoice batch build hash revision team guide learning machine release error chart figure section table round ssn dni steuernummer fax am approved merged found fixed reported joined called thinks wants knows left signed spoke reviewer assignee editor manager reply_to support
+    home court square boulevard way avenida heiße llamo llama mi fragen bitte al in der ich me please de la del von van der den bei unter nummer telefon anrufen adresse name heißt wohnt correo teléfono llamar dirección vive nombre""".split()
 )
 _STREET = ("strasse", "straße", "weg", "gasse", "platz", "allee", "damm", "laan", "straat")
 
@@ -101,22 +105,27 @@ def _features(abstract: list[str], space: list[bool]) -> list[list[int]]:
     return out
 
 
-# --- Sentences for fitting. {N} name, {E} email, {P} phone, {I} identity number, {A} street address; the rest is outside. ---
+# --- Sentences for fitting: several small grammars. {N} name, {E} email, {P} phone, {I} identity number, {A} street address; `w` is
+# any word, 9 any digit, Foo any capitalised word, x_x an identifier. A frame is a grammar's production with one value in it. ---
 
-_WITH = {
-    "N": ["Reviewed-by: {N}", "Reviewed-by: Dr. {N}", "cc {N}", "Ask {N} who wrote it first.", "{N} said the w can wait.", "This came from the laptop of {N}.", "I paired with {N} on the first w.",
-          '{"owner": "{N}", "rows": 9}', "Signed-off-by: {N}", "My name is {N} and I w the w.", "Talked to {N} about it.", "Regards, {N}", "The owner is {N}.", "{N} wrote the w last week.", "Thanks to {N} for the w.", "w w w. {N} asked for a second w.",
-          "author = \"{N}\"", "Bitte {N} fragen.", "Hi {N}, can you w it?", "w the w. cc {N}", "w w. Ask {N} who wrote the w."],
-    "E": ["Send the report to {E} when it is done.", "My address is {E}, reply there.", "contact={E};", "Author: <{E}>", "Ping {E} if the run hangs.", 'The config still has notify = "{E}" in it.', "mailto:{E}", "Ping mailto:{E} if it hangs.", "Reply to {E} please.",
-          "Write to {E} about the w.", "w w w.\n\ncontact={E};", "Author: <mailto:{E}>", "E-Mail an {E} schicken.", "correo: {E}"],
-    "P": ["On-call number: {P}", "Call me on {P} if the w stalls.", "You can reach the owner at {P} after six.", "Phone {P}.", "sms gateway test sent to {P}, no answer.", '{"id": 999, "phone": "{P}"}', "tel {P}", "My mobile is {P}.", "Call {P} before noon.", "Telefon: {P}", "w w.\nOn-call number: {P}", "text me at {P}"],
-    "I": ["Mine is {I}, please mask it.", "Row 9 shows {I} in clear.", "The test user was seeded with {I} by mistake.", "{I} was in the log.", "We saw {I} in the dump.", "w w w. Row 9 shows {I} in clear."],
-    "A": ["address: {A}", "Ship the board to {A}.", "The fixture uses my home, {A}, as sample data.", "Our desk moved to {A} last week.", "I live at {A}.", "Send it to {A}, please.", "w w.\naddress: {A}", "Adresse: {A}", "The office is at {A}."],
+_ROLES = "Author Reviewer Reviewed-by Signed-off-by Co-authored-by Acked-by Tested-by Reported-by Assignee Owner Contact Maintainer Manager Editor Teacher".split()
+_SAID = "said wrote asked told approved merged found fixed reported joined called sent thinks wants knows left signed asked".split()
+_NEAR = ["by", "from", "with", "to", "for", "cc", "ask", "Ask", "met", "thanks to", "Thanks to", "according to", "spoke with", "Talked to", "paired with", "the laptop of", "written by", "reviewed by", "I know", "I paired with", "mit", "von", "de", "con", "para"]
+_KEYS = {"N": "owner author name contact user assignee maintainer reviewer".split(), "E": "email mail contact from to notify cc reply_to author support".split(), "P": "phone tel mobile telephone sms fax call".split(), "I": "note remark row comment text".split(), "A": "address home ship_to office street".split()}
+_LEAD = {
+    "N": ["My name is {N}.", "my name is {N} and I w the w", "I am {N}, w w.", "This is {N}.", "{N} here.", "Hi {N}, w w", "Dear {N},", "Regards, {N}", "Regards,\n{N}", "Ich heiße {N}.", "Bitte {N} fragen.", "Me llamo {N}.", "Mi nombre es {N}.", "Fragen an {N}.", "cc {N}", "/cc {N}", "Dr. {N} w it."],
+    "E": ["Send it to {E}.", "Send the w to {E} when w is w.", "Write to {E} about it.", "Reply to {E} please.", "mail {E} first", "My address is {E}, w there.", "You can reach me at {E}.", "Contact: {E}", "Author: <{E}>", "mailto:{E}", "<mailto:{E}>", "Ping {E} if it w.", "Ping mailto:{E} if w w w.", "contact={E};", "E-Mail an {E} schicken.", "Correo: {E}", "{E} has the w."],
+    "P": ["Call me on {P}.", "Call me on {P} if the w w.", "You can reach me at {P} after w.", "Phone {P}.", "phone: {P}", "Number: {P}", "W number: {P}", "My mobile is {P}.", "tel {P}", "Text me at {P}", "Sms sent to {P}, w w.", "w w test sent to {P}, no w.", "Telefon: {P}", "Unter {P} anrufen.", "Llamar al {P}.", "Fax {P}"],
+    "I": ["Mine is {I}, w w it.", "My {I} was in the w.", "Row 9 shows {I} in w.", "{I} was in the log.", "We saw {I} in the w.", "w w was w with {I} by w.", "Please mask {I}.", "id: {I}", "He sent {I}.", "w {I} w"],
+    "A": ["address: {A}", "Address: {A}", "I live at {A}.", "Send it to {A}, please.", "Ship the w to {A}.", "The w uses my home, {A}, as w w.", "Our w moved to {A} w w.", "The office is at {A}.", "Adresse: {A}", "Ich wohne in der {A}.", "Dirección: {A}", "Vivo en {A}.", "We met at {A}."],
 }
-_WITHOUT = ["Run 9999999999 finished in 999-9999 ms.", "See lines 999-9999 of x_x.py.", "The Harbor Tool service restarted at 99.9.999.99 port 99999.", "Clone git@forge.tinfold.test:foo/bar.git and w it.", "Use the @x_x decorator.",
-            "Install @foo/bar@9.99.9 first.", "Silent Tool beats Monte Tool here.", "Commit 9a9b9c9d9e9f from 9999-99-99 99:99 is fine.", "99 passed, 9 failed in 99.99s", "My guess is that FooBarBaz w the w.", "x_x.py:999: w w", "Then FooBarBaz w 999 w, w followed by the w of foo.",
-            "Version 9.9.99 of the Foo Bar release.", "Ticket 9999999 and build 99999999 are done.", "Die Auswertung von FooBarBaz ist fertig.", "Order 99-999-9999 shipped by the Blue Harbor service.", "ssh root@99.9.9.99 -p 9999", "Deploy at 99:99 on 9999-99-99.",
-            "w w w 999 w w.", "The Foo Bar table has 9999 rows.", "checksum 99999999999999999999", "id 99999999-9999-9999-9999-999999999999", "Port Foo is closed.", "the Orchard Road parser is w", "noreply@foo.example sent 9 w", "min(x, default=999) - max(y, default=99)", "[99999, 99999, 99999]", "99999| x = 9", "Round 9, Table 99", "Section 99 Chart 9", "Table 99, Figure 9", "a Foo Bar at 99 Foo", "w w. Then Foo", "w w. Then Foo…", "w w w. Die Foo", "w w w. My Foo", "Then Foo Bar", "Die Foo…"]
+_WITHOUT = [
+    "Run 9999999999 finished in 999-9999 ms.", "See lines 999-9999 of x_x.py.", "The Foo Tool service restarted at 99.9.999.99 port 99999.", "Clone git@w.w.test:w/w.git and w it.", "Use the @x_x decorator.", "Install @w/w@9.99.9 first.", "Foo Bar Team w it.", "The Foo Team w the Bar Guide.",
+    "Foo Tool beats Bar Tool here.", "Commit 9a9b9c9d9e9f from 9999-99-99 99:99 is fine.", "99 passed, 9 failed in 99.99s", "My guess is that FooBarBaz w the w.", "x_x.py:999: w w", "Then FooBarBaz w 999 w, w followed by the w of w.", "Version 9.9.99 of the Foo Bar release.", "Ticket 9999999 and build 99999999 are done.",
+    "Die Auswertung von FooBarBaz ist fertig.", "Order 99-999-9999 shipped by the Foo Bar service.", "ssh root@99.9.9.99 -p 9999", "Deploy at 99:99 on 9999-99-99.", "w w w 999 w w.", "The Foo Bar table has 9999 rows.", "checksum 99999999999999999999", "id 99999999-9999-9999-9999-999999999999", "Port Foo is closed.", "the Foo Road parser is w",
+    "noreply@w.example sent 9 w", "min(x, default=999) - max(y, default=99)", "[99999, 99999, 99999]", "99999| x = 9", "Round 9, Table 99", "Section 99 Chart 9", "Table 99, Figure 9", "a Foo Bar at 99 Foo", "w w. Then Foo", "w w. Then Foo…", "w w w. Die Foo", "w w w. My Foo", "Then Foo Bar", "Die Foo…",
+    "Foo Learning Team", "the Machine Foo paper", "New Foo Release", "Error 99999999 in Foo Bar", "Foo Street View is w.", "at 9999.99 USD, 99 Foo", "in Foo, 9999", "invoice 99-9999999", "pin 9999, code 999999",
+]
 
 
 class _Writer:
@@ -130,10 +139,26 @@ class _Writer:
     def digits(self, shape: str) -> str:
         return re.sub("9", lambda _: str(self.r.randint(0, 9)), shape)
 
+    def letters(self, shape: str) -> str:
+        """A shape of an identity number: X any capital letter, 9 any digit."""
+        return self.digits(re.sub(r"(?<![a-z])X(?![a-z])", lambda _: self.r.choice("ABCDEFGHJKLMNPRSTVWXYZ"), shape))
+
+    def frame(self, kind: str) -> str:
+        """A production of one of the grammars: a lead, a line of a role, a clause, or a field of a configuration."""
+        r, v = self.r, "{" + kind + "}"
+        key = r.choice(_KEYS[kind])
+        field = r.choice([f'{{"{key}": "{v}", "w": 9}}', f'{{"id": 999, "{key}": "{v}"}}', f'{key} = "{v}"', f"{key}: {v}", f"{key}={v}"]).replace("{{", "{").replace("}}}", "}}")
+        clause = r.choice([f"{v} {r.choice(_SAID)} w w w.", f"w w {r.choice(_NEAR)} {v} w w.", f"{r.choice(_NEAR)} {v}", f"w the w {r.choice(_NEAR)} {v}.", f"w w. {v} {r.choice(_SAID)} the w w w.", f"{r.choice(_NEAR).title()} {v} who {r.choice(_SAID)} w w.", f"w w w. {r.choice(_NEAR).title()} {v}, w w"]) if kind == "N" else f"w w {v}, w w."
+        role = f"{r.choice(_ROLES)}: {r.choice(['', '', 'Dr. ', 'Prof. '])}{v}" if kind == "N" else r.choice(_LEAD[kind])
+        text = r.choices([r.choice(_LEAD[kind]), clause, role, field], [4, 2 if kind in "N" else 0.3, 2, 1])[0]
+        if kind == "N" and r.random() < 0.15 and ". " + v not in text:
+            text = text.replace(v, r.choice(["Dr. ", "Dr. ", "Prof. ", "Mr. ", "Mrs. ", "Ms. "]) + v)
+        return r.choice(["", "", "", "w w w. ", "w w.\n", "w w w.\n\n"]) + text
+
     def fill(self, kind: str) -> str:
         r, w, t = self.r, self.word, lambda: self.word(True)
         if kind == "N":
-            return r.choice([f"{t()} {t()}", f"{t()} {t()}", f"{t()} {r.choice('ABCDEFGH')}. {t()}", f"{t()}, {t()}"])
+            return r.choice([f"{t()} {t()}"] * 4 + [f"{t()} {r.choice('ABCDEFGH')}. {t()}", f"{t()}, {t()}", f"{t()}, {t()}", f"{t()}-{t()} {t()}", f"{t()} O'{t()}", f"{t()} {r.choice(['von', 'van', 'de', 'da', 'del'])} {t()}"])
         if kind == "E":
             local, host = r.choice([w(), f"{w()}_{w()[0]}", f"{w()}.{w()}", f"{w()}+{w()}", w() + self.digits("99")]), r.choice([f"{w()}.example", f"{w()}.{w()}.test", f"{w()}.invalid", f"{w()}.com"])
             out = r.choice([f"{local}@{host}"] * 3 + [f"{local}(at){host}", f"{local} at {host.replace('.', ' dot ')}", f"{local}[at]{host}"])
@@ -141,10 +166,10 @@ class _Writer:
         if kind == "P":
             return self.digits(r.choice(["+99 99 99999 999", "+99 99 9999 9999", "+9 999 555 0199", "tel:+9-999-555-0199", "(999) 555-0199", "999.0199.9999", "0099-99-99999999", "0099-99-99999999", "+99 9 99 99 99 99", "+99-999-9999999", "999-555-0199", "0999 9999999"]))
         if kind == "I":
-            return self.digits(r.choice(["SSN 999-99-9999", "tax id 99999999999", "driving licence D999-9999-9999", "passport no. X9999999", "national id 99999999R", "NI number QQ 99 99 99 C", "social insurance number 99 999999 B 999", "passport C9999999", "national id X9999999L", "driver license D9999999", "tax number 99/999/99999", "SSN: 999-99-9999", "identity number 999999-9999"]))
+            return self.letters(r.choice(["SSN 999-99-9999", "tax id 99999999999", "driving licence D999-9999-9999", "passport no. X9999999", "national id 99999999R", "NI number QQ 99 99 99 C", "social insurance number 99 999999 B 999", "passport C9999999", "national id X9999999L", "driver license D9999999", "tax number 99/999/99999", "SSN: 999-99-9999", "identity number 999999-9999", "ssn 999-99-9999", "ssn is 999-99-9999", "passport number XX9999999", "Passport number X9999999", "Passport XX999999", "licence number X9999999", "national id 999 999 999", "Steuernummer 99/999/99999", "DNI 99999999X", "insurance no. XX 99 99 99 X"]))
         n, place = r.randint(1, 240), r.choice([t(), f"{t()} {t()}", f"Port {t()}", f"Sankt {t()}", f"{t()} {t()} {t()}"])
-        street = r.choice([f"{n} {t()} {r.choice(['Road', 'Street', 'Lane', 'Ave.', 'Avenue', 'Rd', 'St.', 'Drive'])}", f"Calle {t()} {n}", f"{n} rue de la {t()}", f"{n} rue {t()}", f"{t()}strasse {n}", f"Flat {r.randint(1, 30)}, {n} {t()} {r.choice(['Road', 'Rd', 'Lane'])}", f"{t()}weg {n}"])
-        return street + ", " + (self.digits("99999 ") if "strasse" in street or "weg" in street else "") + place
+        street = r.choice([f"{n} {t()} {r.choice(['Road', 'Street', 'Lane', 'Ave.', 'Avenue', 'Rd', 'St.', 'Drive'])}", f"Calle {t()} {n}", f"{n} rue de la {t()}", f"{n} rue {t()}", f"{t()}strasse {n}", f"{t()}straße {n}", f"{t()}{r.choice(['gasse', 'platz', 'allee'])} {n}", f"{n} {t()} {r.choice(['Row', 'Court', 'Place', 'Square', 'Boulevard', 'Way'])}", f"Avenida {t()} {n}", f"Flat {r.randint(1, 30)}, {n} {t()} {r.choice(['Road', 'Rd', 'Lane'])}", f"{t()}weg {n}"])
+        return street + ", " + (self.digits("99999 ") if re.search("stra(?:ss|ß)e|weg|gasse|platz|allee", street) and r.random() < 0.8 else "") + place
 
     def outside(self, s: str) -> str:
         s = re.sub(r"\bw\b", lambda _: self.word(), s)
@@ -161,7 +186,7 @@ class _Writer:
                 text += self.outside(self.r.choice(_WITHOUT))
                 continue
             kind = self.r.choice("NEPIA")
-            head, tail = self.r.choice(_WITH[kind]).split("{" + kind + "}")
+            head, tail = self.frame(kind).split("{" + kind + "}")
             text += self.outside(head)
             value = self.fill(kind)
             spans.append((len(text), len(text) + len(value), dict(zip("EPIAN", TYPES))[kind]))
@@ -215,8 +240,9 @@ def _gaps(window: list[tuple[int, int, str, str]]) -> list[bool]:
     return [i > 0 and window[i][0] > window[i - 1][1] for i in range(len(window))]
 
 
+@functools.lru_cache(maxsize=4)
 def fit_model(sentences: int = SENTENCES, seed: int = 11) -> ChainCRF:
-    """The field's weights, from ``sentences`` generated texts."""
+    """The field's weights, from ``sentences`` generated texts; fitted once a process. ``skip`` is the learned reward of a skip edge."""
     writer, crf, data = _Writer(seed), ChainCRF(TYPES), []
     at = {x: i for i, x in enumerate(crf.labels)}
     for _ in range(sentences):
@@ -231,7 +257,34 @@ def fit_model(sentences: int = SENTENCES, seed: int = 11) -> ChainCRF:
                     first = not y or crf.labels[y[-1]][2:] != inside[2] or not any(inside[0] <= w[0] < s for w in window)
                     y.append(at[("B-" if first else "I-") + inside[2]])
             data.append((_features([w[3] for w in window], _gaps(window)), y))
-    return crf.fit(data)
+    crf.fit(data)
+    crf.skip = fit_skip(crf, writer, max(40, sentences // 12))
+    return crf
+
+
+def fit_skip(crf: ChainCRF, writer: _Writer, texts: int) -> float:
+    """The reward of a skip edge under which most spans come out right in texts that repeat a name, or another capitalised
+    phrase, once in a clear context and then in ones that tell nothing; the least of equals."""
+    docs = []
+    weak = ["w w V w w.", "V w w w.", "w V", "w, V, w w", "w w w V."]
+    for k in range(texts):
+        named = bool(k % 3)
+        value = writer.fill("N").replace(",", "") if named else writer.word(True) + " " + writer.word(True)
+        clear = writer.frame("N").replace("{N}", "V") if named else writer.r.choice(["The V service w w.", "the V release w", "w the V team w it.", "The V Tool w 9 w.", "V Guide, Table 9"])
+        text, spans = "", []
+        for frame in [clear, writer.r.choice(weak), writer.r.choice(weak)]:
+            head, tail = frame.split("V", 1)
+            text += writer.outside(head)
+            if named:
+                spans.append((len(text), len(text) + len(value), "person_name"))
+            text += value + writer.outside(tail) + writer.r.choice([" ", "\n"])
+        docs.append((text, set(spans)))
+    best = []
+    for strength in SKIPS:
+        crf.skip = strength
+        finder = Finder(crf)
+        best.append((sum(len(set(finder.find(t)) ^ want) for t, want in docs), strength))
+    return min(best)[1]
 
 
 _DIGITS = re.compile(r"\d")
@@ -287,7 +340,7 @@ class Finder:
         if edges:
             used = sorted({c for e in edges for c, _ in e})
             at = {c: i for i, c in enumerate(used)}
-            again = self.crf.skip_decode([self._emissions(wins[c]) for c in used], [((at[a[0]], a[1]), (at[b[0]], b[1])) for a, b in edges], SKIP)
+            again = self.crf.skip_decode([self._emissions(wins[c]) for c in used], [((at[a[0]], a[1]), (at[b[0]], b[1])) for a, b in edges], self.crf.skip)
             for c in used:
                 labels[c] = again[at[c]]
         out = []
@@ -335,7 +388,7 @@ def _finder(packed: tuple) -> Finder:
     """The worker's finder for these weights; only the last one is kept."""
     if not _LAST or _LAST[0][0] is not packed:
         crf = ChainCRF(TYPES)
-        crf.W, crf.A = packed
+        crf.W, crf.A, crf.skip = packed
         _LAST[:] = [(packed, Finder(crf))]
     return _LAST[0][1]
 
@@ -348,7 +401,7 @@ def find_personal_data(messages: DataFrame, sessions: DataFrame, records: DataFr
     """
     spark = messages.sparkSession
     crf = fit_model(sentences)
-    model = spark.sparkContext.broadcast((crf.W, crf.A))
+    model = spark.sparkContext.broadcast((crf.W, crf.A, crf.skip))
     schema = "record_kind string, record_id string, msg_pos int, pii_types array<string>" + (", redacted string" if with_text else "")
 
     def run(kind: str, it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

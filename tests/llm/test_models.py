@@ -51,6 +51,20 @@ def test_pii_held_out(people):
     assert hit / all_ > 0.96 and extra / all_ < 0.04
 
 
+def test_pii_frames_that_the_grammars_do_not_have(people):
+    held = [
+        ("I spoke with John Smith yesterday and John Smith agreed.", {"person_name"}), ("my ssn is 078-05-1120", {"id_number"}), ("Jean-Luc Picard approved it.", {"person_name"}), ("Passport number AB1234567", {"id_number"}),
+        ("Hauptstraße 5, 10115 Berlin", {"street_address"}), ("Reach me: jane.doe@corp.example or +1 212 555 0100", {"email", "phone"}), ("Bitte an Maria Schmidt senden.", {"person_name"}), ("commit 4f3c2b1a9d by Peter Parker", {"person_name"}),
+        ("Vivo en Calle Mayor 3, Madrid", {"street_address"}), ("The Learning Team met on Monday.", set()), ("Deep Learning Release 3 is out", set()), ("the Machine Learning service at 10.0.0.1:8080", set()), ("Error 4041234567 in Data Node", set()), ("npm i @scope/pkg@1.2.3", set()),
+    ]
+    right = sum({k for _, _, k in people.find(t)} == want for t, want in held)
+    assert right >= 0.9 * len(held)
+
+
+def test_skip_reward_is_learned():
+    assert pii.fit_model().skip in pii.SKIPS and pii.fit_model().skip > 0 and pii.fit_model() is pii.fit_model()
+
+
 def test_pii_decoys_and_redaction(people):
     for t in ["Clone git@forge.tinfold.test:a/b.git and build it.", "Install @foo/bar@9.1.2 first.", "Run 3440492056 finished in 346-9987 ms.", "The Harbor Rung service restarted at 10.0.1.22 port 3341.", "", "x" * 100_000, "12 " * 20_000]:
         assert people.find(t) == []
