@@ -10,6 +10,7 @@ The field is fitted on lines written by the generator below; no corpus row is us
 from __future__ import annotations
 
 import base64
+import functools
 import random
 import re
 from collections.abc import Iterator
@@ -318,8 +319,9 @@ class _Writer:
         return text, spans
 
 
+@functools.lru_cache(maxsize=4)
 def fit_model(lines: int = LINES, seed: int = 5) -> ChainCRF:
-    """The field's weights, from ``lines`` generated snippets."""
+    """The field's weights, from ``lines`` generated snippets; fitted once a process."""
     writer, crf, data = _Writer(seed), ChainCRF(["credential"]), []
     for _ in range(lines):
         text, spans = writer.text()
@@ -371,15 +373,25 @@ class Finder:
         return out
 
 
+# One character of a value: an escape, or anything but blanks and quotes.
+_CHAR = re.compile(r"\\(?:u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)|[^\s\\\"'`]", re.S)
+
+
+def _filler(m: re.Match) -> str:
+    """What stands for a character: an `x` for one, an escaped `x` for an escaped code, other escapes as they are."""
+    s = m.group()
+    return "x" if len(s) == 1 else {6: "\\u0078", 4: "\\x78"}.get(len(s), s)
+
+
 def redact(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text with every credential's letters and digits replaced, all else (quotes, joints of pieces, line ends, length) kept."""
+    """The text with every character of every credential replaced; quotes, blanks, joints of pieces, line ends and length are kept."""
     parts, at = [], 0
     for s, e in spans:
         parts.append(text[at:s])
         at = s
         for joint in [*_JOINT.finditer(text, s, e), None]:
             stop = joint.start() if joint else e
-            parts.append(re.sub(r"(?<!\\)[A-Za-z0-9+/=]", "x", text[at:stop]))
+            parts.append(_CHAR.sub(_filler, text[at:stop]))
             if joint:
                 parts.append(joint.group())
                 at = joint.end()

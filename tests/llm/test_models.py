@@ -109,6 +109,13 @@ def test_credentials_redaction_keeps_code(secrets):
     assert secrets.find("") == [] and secrets.find("token " * 50_000) == []
 
 
+def test_every_character_of_a_value_is_replaced():
+    t = 'password = "Gar_$!#9%2"\nk = "a\\u0041\\n\\x42b"\n'
+    a, b = t.index("Gar"), t.index("a\\u")
+    out = credentials.redact(t, [(a, a + 10), (b, b + 14)])
+    assert out == 'password = "xxxxxxxxxx"\nk = "x\\u0078\\n\\x78x"\n' and len(out) == len(t)
+
+
 def test_credential_table(spark):
     df = spark.createDataFrame([("f1", 'a = 1\r\nsecret = "sk-sUZpAr8sFxqdWxkgUl2ZlmjyFbt7Qzq1"\r\n', None), ("f2", "", "x"), ("f3", None, None), (None, 'secret = "sk-sUZpAr8sFxqdWxkgUl2ZlmjyFbt7Qzq1"', None)], "fv_id string, pre string, line_nos string")
     got = credentials.find_credentials([(df, "fv_id", {"pre": "pre", "post": "line_nos"})], with_text=True, lines=900).collect()
