@@ -43,8 +43,9 @@ def _text_key(content: Column, calls: Column) -> Column:
     return F.md5(body)
 
 
-def clock_offsets(rows: DataFrame) -> DataFrame:
-    """``(client, speaker, offset)``: seconds by which a sender's clock runs ahead, by least squares.
+def clock_offsets(rows: DataFrame, every: bool = False) -> DataFrame:
+    """``(client, speaker, offset)``: seconds by which a sender's clock runs ahead, by least squares; with ``every`` also
+    ``error`` (one standard error), ``pairs`` and ``sure`` of all senders, not only of those sure enough.
 
     Every pair of neighbouring places ``(request_id, pos)`` gives a reply-before constraint. Its gap is modelled as a
     client's usual gap plus the difference of the two senders' offsets; per client the normal equations are built from
@@ -77,10 +78,16 @@ def clock_offsets(rows: DataFrame) -> DataFrame:
         rest = max(float(pdf["q"].sum() - 2 * (n * y) @ (design @ beta) + n @ (design @ beta) ** 2), 0.0)
         error = np.sqrt(np.maximum(np.diag(inverse), 0) * rest / max(n.sum() - k - 1, 1))
         sure = [bool(abs(beta[i]) >= max(MIN_OFFSET_SECONDS, MIN_SIGMAS * error[i])) for i in range(k)]
-        return pd.DataFrame({"client": [pdf["client"].iloc[0]] * k, "speaker": names, "offset": beta[:k], "sure": sure})
+        return pd.DataFrame({"client": [pdf["client"].iloc[0]] * k, "speaker": names, "offset": beta[:k], "error": error[:k], "pairs": int(n.sum()), "sure": sure})
 
-    found = sums.groupBy("client").applyInPandas(solve, "client string, speaker string, offset double, sure boolean")
-    return found.where("sure").drop("sure")
+    found = sums.groupBy("client").applyInPandas(solve, "client string, speaker string, offset double, error double, pairs long, sure boolean")
+    return found if every else found.where("sure").select("client", "speaker", "offset")
+
+
+def sender_clocks(messages: DataFrame) -> DataFrame:
+    """``clock_offsets`` of every sender of a table of message rows; repeated rows count once."""
+    rows = messages.where("request_id is not null").select("request_id", "msg_id", F.col("pos").cast("int").alias("pos"), speaker(F.col("role")).alias("speaker"), F.coalesce("client", F.lit("")).alias("client"), "sent_at")
+    return clock_offsets(materialize(rows.dropDuplicates(["request_id", "msg_id"]), "clocks"), every=True)
 
 
 def _history_items(text: str | None) -> list[tuple[int, str, list]]:
@@ -144,8 +151,8 @@ def rebuild(messages: DataFrame, records: DataFrame) -> DataFrame:
     rows = slim.join(start, "request_id").where(f"sent_at is null or start_time is null or sent_at >= start_time - interval {STALE_SECONDS} seconds")
     lone = F.when(F.col("pos").isNull(), F.col("msg_id"))
     rows = rows.groupBy("request_id", "pos", "speaker", "key", lone.alias("lone")).agg(
-        F.min("msg_id").alias("msg_id"), F.min("client").alias("client"), F.min("sent_at").alias("sent_at"), F.min("full").alias("full")
-    ).drop("lone")
+        F.min("msg_id").alias("msg_id"), F.min_by(F.struct("client", "sent_at", "full"), "msg_id").alias("first")
+    ).select("request_id", "pos", "speaker", "key", "msg_id", "first.*")
     rows = materialize(rows, "chat")
     whole = rows.groupBy("request_id").agg(
         F.count("*").alias("n"),

@@ -16,7 +16,8 @@ from millrace.session import materialize
 BANDS = ("basic", "intermediate", "advanced")
 #: Word nodes. Words are hashed to this many nodes, so a round sends a vector of fixed length whatever the vocabulary.
 NODES = 1 << 15
-ROUNDS = 8
+#: Iteration ends when no word's score (0 to 2) moves further than this, after so many rounds at most.
+SETTLED, ROUNDS = 0.003, 30
 MIN_WORDS = 80
 #: Graded examples read to the driver at most.
 MAX_SAMPLES = 100_000
@@ -140,6 +141,7 @@ def reading_levels(documents: DataFrame, samples: DataFrame, id_col: str = "doc_
     sc = docs.sparkSession.sparkContext
 
     for _ in range(rounds):
+        before = score
         now = sc.broadcast(score)
 
         def partial(it):
@@ -160,6 +162,10 @@ def reading_levels(documents: DataFrame, samples: DataFrame, id_col: str = "doc_
         level = np.array([score[x].mean() for x in owned])
         spread, centre = np.polyfit(level, grades, 1) if np.ptp(level) > 1e-9 else (1.0, 0.0)
         score = score * spread + centre
+        now.unpersist()
+        # The words that documents hold have settled: no level can move further than its words do.
+        if float(np.abs(score - before)[n > 0].max(initial=0.0)) < SETTLED:
+            break
     level = np.array([score[x].mean() for x in owned])
     centres = [float(level[grades == b].mean()) if (grades == b).any() else float(b) for b in range(3)]
     cuts = [(centres[0] + centres[1]) / 2, (centres[1] + centres[2]) / 2]

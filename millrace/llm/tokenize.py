@@ -223,6 +223,13 @@ class Encoder:
                 group, size = [], 0
         return (np.concatenate(parts) if parts else np.zeros(0, np.int32)), np.concatenate(offsets)
 
+    def widths(self) -> np.ndarray:
+        """Bytes of every token by its id."""
+        out = np.zeros(max(self.ranks.values()) + 1, np.int64)
+        for token, rank in self.ranks.items():
+            out[rank] = len(token)
+        return out
+
     def decode(self, ids: list[int]) -> str:
         back = self.__dict__.setdefault("back", {v: k for k, v in self.ranks.items()})
         return b"".join(back[i] for i in ids).decode("utf-8", "surrogatepass")
@@ -266,6 +273,29 @@ def encode_ids(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT_TO
     return df.select(id_col, df[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
+def encode_offsets(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """``(id_col, ids, starts)``: token ids of every text, and the byte of its UTF-8 form at which each begins.
+
+    A token ends where the next begins, the last at the text's end, so any slice can be decoded by itself. Null and empty texts
+    give empty lists.
+    """
+    data = vocabulary(df.sparkSession, path)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = _encoder(data.value)
+        width = enc.widths()
+        for batch in it:
+            ids, offsets = enc.encode(batch.column(1).to_pylist())
+            ids, offsets = np.asarray(ids, np.int64), np.asarray(offsets)
+            ends = np.r_[0, np.cumsum(width[ids])]
+            starts = ends[:-1] - np.repeat(ends[offsets[:-1]], np.diff(offsets))
+            lists = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(x, pa.int32())) for x in (ids, starts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=[id_col, "ids", "starts"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return df.select(id_col, df[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, starts array<int>")
+
+
 def token_counts(df: DataFrame, id_col: str, text_col: str, path: str = DEFAULT_TOKENIZER) -> DataFrame:
     """``(id_col, tokens)``: the number of ids of every text; the lists never leave the worker."""
     data = vocabulary(df.sparkSession, path)

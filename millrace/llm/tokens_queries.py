@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm.packing import fill_report, pack
-from millrace.llm.tokenize import encode_ids, token_counts
+from millrace.llm.tokenize import encode_ids, encode_offsets, token_counts
 from millrace.session import table
 
 
@@ -13,6 +13,11 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_ids(table(spark, d, "documents"), "doc_id", "text")
 
 
+def p8_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Ids with the byte at which each token begins, for decoding any slice."""
+    return encode_offsets(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(token_counts(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "tokens")
 
@@ -21,5 +26,5 @@ def p9_fill(spark: SparkSession, d: str) -> DataFrame:
     return fill_report(p9_containers(spark, d))
 
 
-QUERIES = {"p8_ids": p8_ids, "p9_containers": p9_containers, "p9_fill": p9_fill}
+QUERIES = {"p8_ids": p8_ids, "p8_offsets": p8_offsets, "p9_containers": p9_containers, "p9_fill": p9_fill}
 ORACLES: dict[str, str] = {}

@@ -67,3 +67,21 @@ def test_clock_offsets_recover_a_fast_clock(spark):
     got = {(r.client, r.speaker): r.offset for r in clock_offsets(df).collect()}
     assert set(got) == {("slow", "user"), ("slow", "assistant")}
     assert abs(got["slow", "assistant"] - got["slow", "user"] - 500) < 5
+
+
+def test_a_corrected_clock_reorders_turns(spark):
+    rows = []
+    for k in range(40):  # chats with places show that the assistant's clock of this client runs 500 s ahead
+        for p in range(10):
+            who = "user" if p % 2 == 0 else "assistant"
+            rows.append((f"m{k:02}{p}", f"r{k:02}", p, who, f"t{k} {p}", None, "k", "slow", at(p * 40 + k + (500 if who == "assistant" else 0)), at(0)))
+    loose = [("u1", "user", 0), ("a1", "assistant", 40 + 500), ("u2", "user", 80), ("a2", "assistant", 120 + 500)]
+    rows += [(i, "loose", None, who, i, None, "k", "slow", at(s), at(0)) for i, who, s in loose]
+    records = [rec(f"r{k:02}") for k in range(40)] + [rec("loose")]
+    # By raw time both user turns come first and the chat would be broken; corrected, they alternate.
+    assert [m for m, _ in run(spark, rows, records)["loose"]] == ["u1", "a1", "u2", "a2"]
+
+
+def test_a_repeat_keeps_the_row_of_its_smallest_id(spark):
+    rows = [row("b", "r", 0, "user", "x", 1), row("a", "r", 0, "user", "x", 900), row("c", "r", 1, "assistant", "y", 2)]
+    assert run(spark, rows, [rec("r")])["r"] == [("a", "user"), ("c", "assistant")]

@@ -84,3 +84,17 @@ def test_pack_table(spark):
     report = packing.fill_report(packing.pack(df, "doc_id", "n", 10), 10).first()
     assert (report.containers, report.tokens, report.least_containers) == (8, 75, 8)
     assert packing.pack(df.limit(0), "doc_id", "n", 10).count() == 0
+
+
+def test_offsets_decode_every_slice(spark):
+    from millrace.llm.tokenize import encode_offsets
+
+    texts = [None, "", "Hello  world\n\tx = 1", "naïve 漢字 🙂 café", " " * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in encode_offsets(df, "doc_id", "text").collect()}
+    ids = {r.doc_id: r.ids for r in tokenize.encode_ids(df, "doc_id", "text").collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        assert got[i].ids == ids[i] and len(got[i].starts) == len(ids[i])
+        pieces = [raw[a:b] for a, b in zip(got[i].starts, [*got[i].starts[1:], len(raw)])]
+        assert b"".join(pieces) == raw and all(pieces)
