@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.session import materialize
+from millrace.session import materialize, release
 
 
 def _big_star(e: DataFrame) -> DataFrame:
@@ -32,7 +32,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = materialize(_small_star(e), "cc")
     seen: tuple | None = None
     for _ in range(max_rounds):
-        e = materialize(_small_star(_big_star(e)), "cc")
+        last, e = e, materialize(_small_star(_big_star(e)), "cc")
+        release(last)
         # A star forest is reached when no centre is itself a leaf.
         now = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
         if tuple(now) == seen:

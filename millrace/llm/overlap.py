@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import dartminhash, shingles
 from millrace.llm.components import connected_components
-from millrace.session import materialize
+from millrace.session import materialize, release
 
 #: Texts with fewer words are never compared; two texts are alike from this similarity on.
 MIN_WORDS, THRESHOLD = 25, 0.6
@@ -32,6 +32,8 @@ BANDS, BAND_ROWS = 24, 3
 SKETCH = 1 << 17
 #: A banded bucket with more distinct nodes than this hands its nodes to the prefix buckets.
 HOT_BUCKET = 64
+#: Rows of a bucket that are paired in one block.
+BLOCK = 256
 #: Sets handled at once inside a worker.
 _SETS = 512
 
@@ -150,6 +152,21 @@ def compare_nodes(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFr
     return common.where(F.col("common") >= threshold * (F.col("na") + F.col("nb") - F.col("common")) - 1e-9).select("u", "v", "na", "nb", "common")
 
 
+def _apart(rows: DataFrame) -> DataFrame:
+    """``(u, v)``: all pairs of nodes of a bucket that lie in different components; ``rows(bucket, fp, c, rows)``.
+
+    A bucket is cut into blocks of about ``BLOCK`` rows, and every pair of blocks is a key of its own, so that no task holds
+    a hot bucket.
+    """
+    cut = rows.withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumn("b", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    each = cut.select("bucket", "fp", "c", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    each = each.select("bucket", "fp", "c", "b", F.least("b", "o").alias("lo"), F.greatest("b", "o").alias("hi"))
+    x, y = each.alias("x"), each.alias("y")
+    same = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.lo") == F.col("y.lo")) & (F.col("x.hi") == F.col("y.hi"))
+    met = x.join(y, same).where("x.c <> y.c and x.fp < y.fp and (x.lo = x.hi or x.b <> y.b)")
+    return met.select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
+
+
 def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHOLD, hot: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Links and components of the nodes that share a bucket; see the module's text.
 
@@ -167,11 +184,10 @@ def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHO
     mixed = part.groupBy("bucket").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("rows")).where("a <> b")
     rest = materialize(part.join(mixed.select("bucket", "rows"), "bucket"), "rest")
     if rest.isEmpty():
+        release(shared, arrays, rest)
         return links, comps
     small = rest if hot is None else rest.where(F.col("rows") <= hot)
-    x, y = small.alias("x"), small.alias("y")
-    pairs = x.join(y, F.col("x.bucket") == F.col("y.bucket")).where("x.c <> y.c and x.fp < y.fp").select(F.col("x.fp").alias("u"), F.col("y.fp").alias("v")).distinct()
-    pairs = pairs.join(star, ["u", "v"], "left_anti")
+    pairs = _apart(small).join(star, ["u", "v"], "left_anti")
     more = compare_nodes(pairs, arrays, threshold)
     if hot is not None:
         many = rest.where(F.col("rows") > hot).select("fp").distinct()
@@ -179,6 +195,7 @@ def bucket_links(buckets: DataFrame, sets: DataFrame, threshold: float = THRESHO
             left = materialize(arrays.join(many, "fp", "left_semi"), "hot")
             more = more.unionByName(bucket_links(prefix_buckets(left, threshold), left, threshold)[0])
     more = materialize(more, "more")
+    release(shared, arrays, rest)
     if more.isEmpty():
         return links, comps
     links = links.unionByName(more).dropDuplicates(["u", "v"])

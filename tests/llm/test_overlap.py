@@ -179,3 +179,11 @@ def test_containment_of_files_and_members(spark):
     members = sorted(map(tuple, cross_split.containment_members(cases, blobs).collect()))
     assert members == [("content", "eval", "3", "3", "b"), ("content", "eval", "3", "4", "c"), ("content", "eval", "8", "8", "c"), ("content", "train", "1", "1", "a"), ("content", "train", "1", "2", "e"), ("prompt", "train", "a", "a", "a"), ("prompt", "train", "a", "e", "e")]
     assert cross_split.containment(cases.limit(0), blobs.limit(0)).count() == 0
+
+
+def test_blocks_pair_what_one_bucket_pairs(spark):
+    rows = [(b, 10 * b + 1000 * k, k % 4, n) for b, n in ((1, 700), (2, 3), (3, 257)) for k in range(n)]
+    df = spark.createDataFrame(rows, "bucket long, fp long, c long, rows long")
+    got = {(r.u, r.v) for r in overlap._apart(df).collect()}
+    want = {(x[1], y[1]) for x in rows for y in rows if x[0] == y[0] and x[2] != y[2] and x[1] < y[1]}
+    assert got == want
