@@ -13,23 +13,23 @@ from millrace.operators import traces
 from millrace.operators.helpers import is_collection_control
 
 # Words of defect and task comments.
-_BUG = r"(?:#|//)\s*(?:BUG|FIXME|XXX|HACK|WRONG|INCORRECT)\b"
-_TODO = r"(?:#|//)\s*TODO\b"
+_BUG, _TODO = r"(?:BUG|FIXME|XXX|HACK|WRONG|INCORRECT)\b", r"TODO\b"
+_LINE, _END = r"(?im)^[ \t]*(?:#|//|/\*|\*)[ \t]*", r"(?im)[ \t]*(?:#|//)[ \t]*"
 #: Characters from which a gold file, and a key line, found in the context counts as a leak.
 GOLD_CHARS, KEY_CHARS = 40, 8
 
 
 def has_bug_marker(content: Column, todo: bool = False) -> Column:
-    """Whether a comment marks a defect (or, if asked, an open task)."""
+    """Whether a line is a comment that marks a defect (or, if asked, an open task)."""
     t = F.coalesce(content, F.lit(""))
-    return t.rlike("(?i)" + _BUG) | (t.rlike("(?i)" + _TODO) if todo else F.lit(False))
+    return t.rlike(_LINE + _BUG) | (t.rlike(_LINE + _TODO) if todo else F.lit(False))
 
 
 def strip_bug_markers(content: Column, todo: bool = False) -> Column:
     """Lines that are only such a comment are dropped, such ends of lines cut."""
     marks = f"(?:{_BUG}|{_TODO})" if todo else _BUG
-    whole = F.regexp_replace(F.coalesce(content, F.lit("")), rf"(?im)^[ \t]*{marks}.*(?:\n|\z)", "")
-    return F.regexp_replace(whole, rf"(?im)[ \t]*{_BUG}.*$", "")
+    whole = F.regexp_replace(F.coalesce(content, F.lit("")), _LINE + marks + r".*(?:\n|\z)", "")
+    return F.regexp_replace(whole, _END + _BUG + ".*$", "")
 
 
 def leaks(cases: DataFrame) -> DataFrame:

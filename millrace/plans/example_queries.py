@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import calibration, diagnosis, drafts, gates, helpers, records, redaction, text, traces
+from millrace.operators import calibration, cases, diagnosis, drafts, gates, helpers, records, redaction, text, traces
 from millrace.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,3 +433,109 @@ def solution_key_examples(spark: SparkSession, d: str) -> DataFrame:
     pair = "array<struct<path:string,content:string>>"
     df = _rows(spark, f"id int, impl {pair}, gold {pair}", (1, [("b.py", None), ("a.py", 'x = "1"\n')], [("a.py", "x")]), (2, [("a", "b")], []), (3, None, [("a", "b")]))
     return df.select("id", text.solution_key(F.col("impl"), F.col("gold")).alias("key"))
+
+
+@_query("""SELECT * FROM (VALUES (1, 'explicit_bug_pointer,line_number', 'error'), (2, '', 'warn'), (3, 'off_by_one,wrong_mechanism', 'error'), (4, '', NULL), (5, 'cn_replace_directive', 'error')) t(id, patterns, severity)""")
+def disclosure_examples(spark: SparkSession, d: str) -> DataFrame:
+    df = _rows(spark, "id int, p string, said boolean", (1, "The bug is in f, at line 3.", None), (2, "f is slow", True), (3, "an off-by-one, wrong index", True), (4, None, None), (5, "把 `a` 改成 b", False))
+    return df.select("id", cases.disclosures(F.col("p")).alias("x"), "said").select("id", F.array_join("x", ",").alias("patterns"), cases.disclosure_issue(F.col("x"), F.col("said"))["severity"].alias("severity"))
+
+
+@_query("""WITH c AS (SELECT DISTINCT case_id, coalesce(prompt, '') AS p FROM cases) SELECT count(*) FILTER (regexp_matches(p, '(?i)\\boff[-\\s]?by[-\\s]?one\\b')) AS off_by_one, count(*) FILTER (regexp_matches(p, '(?i)\\b(?:is|are|was|were)\\s+inverted\\b|\\binverted\\s+\\w+')) AS inverted, count(*) FILTER (regexp_matches(p, '(?i)(?:仍(?:然)?使用|still\\s+use[sd]?)\\s*`?[\\w/.-]+`?')) AS still_uses_old, count(*) AS prompts FROM c""")
+def disclosure_counts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "cases").select("case_id", "prompt").distinct().select(cases.disclosures(F.col("prompt")).alias("x"))
+    return c.agg(*[F.count_if(F.array_contains("x", n)).alias(n) for n in ("off_by_one", "inverted", "still_uses_old")], F.count("*").alias("prompts"))
+
+
+@_query("""WITH k AS (SELECT case_id, row_number() OVER (ORDER BY case_id) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT case_id FROM file_blobs WHERE case_id IS NOT NULL)),
+  d AS (SELECT h.case_id AS host, d.case_id AS donor, j AS place FROM k h, range(1, 3) r(j), k d WHERE d.i = (h.i + j) % h.n), f AS (SELECT DISTINCT blob_id, case_id, position, path, content, role FROM file_blobs WHERE case_id IS NOT NULL),
+  s AS (SELECT case_id AS donor, position, regexp_extract(path, '[^/\\\\]*$') AS name FROM f WHERE coalesce(role, 'impl') = 'impl' AND NOT (regexp_matches(lower(name), '^test_.*\\.pyi?$|_test\\.pyi?$|\\.(test|spec)\\.[mc]?[jt]sx?$') OR regexp_matches(lower(path), '(^|[/\\\\])(tests?|__tests__)[/\\\\]'))
+    AND lower(name) NOT IN ('conftest.py', 'pytest.ini', '.pytest.ini', 'pytest.toml', '.pytest.toml', 'setup.cfg', 'tox.ini', 'pyproject.toml', 'sitecustomize.py', 'usercustomize.py')),
+  o AS (SELECT DISTINCT host AS case_id, 'vendor/' || donor || '/' || name AS path FROM d JOIN s USING (donor)), n AS (SELECT case_id, count(*) AS own FROM f GROUP BY 1)
+  SELECT n.case_id, own, least(greatest(6 - own, 0), (SELECT count(*) FROM o WHERE o.case_id = n.case_id AND NOT EXISTS (SELECT 1 FROM f WHERE f.case_id = o.case_id AND f.path = o.path))) AS planted FROM n""")
+def composed_cases(spark: SparkSession, d: str) -> DataFrame:
+    """How many files each case ships, and how many of two donors are planted beside them."""
+    files = table(spark, d, "file_blobs").where("case_id is not null").select("blob_id", "case_id", "position", "path", "content", "role").distinct()
+    donors = text.rotation_compose(files, "case_id", 2)
+    return cases.compose(files, donors).groupBy("case_id").agg(F.count_if(~F.col("planted")).alias("own"), F.count_if("planted").alias("planted"))
+
+
+@_query("""WITH f AS (SELECT DISTINCT case_id, path, coalesce(content, '') AS content, role FROM file_blobs WHERE case_id IS NOT NULL), m AS (SELECT *, regexp_replace(regexp_extract(path, '[^/\\\\]*$'), '\\.[^.]*$', '') AS module FROM f)
+  SELECT case_id, count(DISTINCT path) AS files FROM m WHERE role = 'impl' AND NOT EXISTS (SELECT 1 FROM f o WHERE o.case_id = m.case_id AND o.role IN ('impl', 'test') AND o.path <> m.path AND contains(o.content, m.module)) GROUP BY 1""")
+def unreferenced_files(spark: SparkSession, d: str) -> DataFrame:
+    files = table(spark, d, "file_blobs").where("case_id is not null").select("case_id", "path", "content", "role").distinct().withColumn("gold", F.lit(False))
+    return cases.unreferenced(files).distinct().groupBy("case_id").agg(F.count("*").alias("files"))
+
+
+def _files(spark: SparkSession, *rows: tuple) -> DataFrame:
+    return _rows(spark, "case_id string, path string, content string, role string", *rows)
+
+
+@_query("""SELECT * FROM (VALUES ('a', 'm.py', '', 'x'), ('a', 'n.py', 's', 't')) t(case_id, path, stub, gold)""")
+def gold_pair_examples(spark: SparkSession, d: str) -> DataFrame:
+    shipped = _files(spark, ("a", "n.py", "s", "impl"), ("a", "same.py", "q", None), ("a", "d.md", "d", "spec"))
+    gold = _files(spark, ("a", "m.py", "x", None), ("a", "n.py", "t", None), ("a", "same.py", "q", None), ("a", "test_m.py", "t", None), ("a", "d.md", "e", None))
+    return cases.impl_gold_pairs(shipped, gold)
+
+
+@_query("""SELECT * FROM (VALUES ('a', 'gone.py', 'protected_path_deleted'), ('a', 'new.py', 'protected_path_not_in_context'), ('a', 't/x.py', 'protected_path_modified')) t(case_id, path, violation)""")
+def protection_examples(spark: SparkSession, d: str) -> DataFrame:
+    shipped = _files(spark, ("a", "gone.py", "1", None), ("a", "t/x.py", "1", None), ("a", "ok.py", "1", None))
+    found = _files(spark, ("a", "t/x.py", "2", None), ("a", "ok.py", "1", None), ("a", "new.py", "1", None))
+    return cases.protected_violations(_files(spark, *[("a", p, None, None) for p in ("gone.py", "/t/x.py", "ok.py", "new.py")]), shipped, found)
+
+
+@_query("""SELECT * FROM (VALUES ('a', 'conftest.py', 'grading_interference_file_modified'), ('a', 'x/PYTEST.ini', 'grading_interference_file'), ('a', 'z.py', 'grading_interference_skip_marker')) t(case_id, path, violation)""")
+def interference_examples(spark: SparkSession, d: str) -> DataFrame:
+    shipped, gold = _files(spark, ("a", "conftest.py", "1", None), ("a", "setup.cfg", "1", None)), _files(spark, ("a", "setup.cfg", "2", None))
+    found = _files(spark, ("a", "conftest.py", "2", None), ("a", "setup.cfg", "2", None), ("a", "x/PYTEST.ini", "", None), ("a", "z.py", "@pytest.mark.skipif(True)", None), ("a", "tox.ini", "base", None), ("a", "y.py", "ok", None))
+    base = _files(spark, ("a", "tox.ini", "base", None)).select("case_id", "path", F.sha2("content", 256).alias("sha256"))
+    return cases.interference(found, shipped, gold, base)
+
+
+@_query("""SELECT * FROM (VALUES (1, 0.5, 2, 0.5), (2, 0.0, 0, 0.0), (3, 1.0, 1, 0.0)) t(id, ratio, changed, overlap)""")
+def diff_examples(spark: SparkSession, d: str) -> DataFrame:
+    df = _rows(spark, "id int, a string, b string, issue string", (1, "x\ny\n", "x\nparse_row(z)\n", "Parse_Row fails"), (2, "q\n", "q\n", "any thing"), (3, None, "new\n", ""))
+    diff = cases.unified_diff("a", "b", F.lit("f.py"))
+    out = df.withColumn("diff", diff)
+    return out.select("id", cases.change_ratio("a", "b").alias("ratio"), cases.changed_lines(F.col("diff")).alias("changed"), F.round(cases.issue_overlap(F.col("issue"), F.col("diff")), 6).alias("overlap"))
+
+
+@_query("""SELECT * FROM (VALUES ('a', 'n.py', 'solution_file_unchanged', 'error'), ('a', 'm.py', 'solution_rewrites_file', 'warn')) t(case_id, path, code, severity)""")
+def solution_examples(spark: SparkSession, d: str) -> DataFrame:
+    df = _rows(spark, "case_id string, path string, stub string, gold string", ("a", "n.py", "s", "s"), ("a", "m.py", "1\n2\n3", "4\n5\n6"), ("a", "ok.py", "1\n2\n3", "1\n2\n4"), ("a", "new.py", None, "x"))
+    return cases.solution_issues(df)
+
+
+@_query("""SELECT * FROM (VALUES (1, '/etc/passwd'), (3, '../../x'), (4, '~/secret')) t(call, outside)""")
+def escape_examples(spark: SparkSession, d: str) -> DataFrame:
+    df = _rows(spark, "call int, tool string, arguments string", (1, "bash", '{"command": "cat /etc/passwd src/a.py"}'), (2, "read", '{"filePath": "/w/src/a.py"}'), (3, "edit", '{"path": "../../x"}'), (4, "bash", '{"command": "ls -la \'~/secret\'"}'), (5, "bash", "{cut"))
+    return cases.escapes(df, "/w").select("call", F.array_join("outside", ",").alias("outside"))
+
+
+@_query("""SELECT * FROM (VALUES (1, '[23.7%, 76.3%]'), (2, NULL)) t(id, interval_text)""")
+def interval_examples(spark: SparkSession, d: str) -> DataFrame:
+    return _rows(spark, "id int, s int, n int", (1, 5, 10), (2, 0, 0)).select("id", cases.format_interval(F.col("s"), F.col("n")).alias("interval_text"))
+
+
+@_query("""SELECT * FROM (VALUES ('b', true, true), ('c', false, false), ('d', true, false)) t(candidate, comparable, self_repeat)""")
+def comparable_examples(spark: SparkSession, d: str) -> DataFrame:
+    runs = _rows(spark, "run_id string, oracle boolean, differs array<string>", ("a", None, None), ("b", False, []), ("c", True, ["model"]))
+    return cases.comparable_pairs(_rows(spark, "candidate string", ("b",), ("c",), ("d",)), runs, "a")
+
+
+@_query("""SELECT * FROM (VALUES (true, false, false)) t(stable, moved, plain)""")
+def fingerprint_examples(spark: SparkSession, d: str) -> DataFrame:
+    """Blanks around the prompt and the order of protected paths do not matter; a command, or the order of files, does."""
+    schema = "k string, c struct<prompt:string,task_type:string,language:string,files:array<struct<path:string,content:string>>,grader:struct<mode:string,command:string,protected_paths:array<string>>>"
+    files = [("a", "1"), ("b", None)]
+    case = lambda prompt, fs, command, paths: (prompt, "bugfix", "python", fs, ("script", command, paths))
+    df = _rows(spark, schema, ("x", case("p", files, "c", ["s", "t"])), ("y", case(" p\n", files, "c", ["t", "s"])), ("z", case("p", files, "d", ["s", "t"])), ("v", case("p", files[::-1], "c", ["s", "t"])))
+    f = df.select("k", cases.case_fingerprint("c").alias("f")).groupBy().pivot("k", ["x", "y", "z", "v"]).agg(F.first("f"))
+    return f.select((F.col("x") == F.col("y")).alias("stable"), (F.col("x") == F.col("z")).alias("moved"), (F.col("x") == F.col("v")).alias("plain"))
+
+
+@_query("""WITH f AS (SELECT DISTINCT fv_id, path, pre, post, pre_origin FROM file_versions WHERE pre <> post AND pre_origin = 'read_complete' AND path LIKE '%.py'), g AS (SELECT *, regexp_extract(path, '[^/\\\\]*$') AS name FROM f)
+  SELECT name, count(DISTINCT md5(pre) || md5(post)) AS edits FROM g WHERE NOT regexp_matches(lower(name), '^test_.*\\.pyi?$|_test\\.pyi?$') AND NOT regexp_matches(lower(path), '(^|[/\\\\])(tests?|__tests__)[/\\\\]') GROUP BY 1""")
+def human_edits(spark: SparkSession, d: str) -> DataFrame:
+    return cases.human_edits(table(spark, d, "file_versions")).groupBy("name").agg(F.count("*").alias("edits"))

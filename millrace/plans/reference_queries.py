@@ -445,7 +445,7 @@ def leaked_key_lines(spark: SparkSession, d: str) -> DataFrame:
     return hits.groupBy("case_id").agg(F.count_distinct("line").alias("lines"), F.count_distinct("blob_id").alias("files"))
 
 
-@_query(r"""WITH f AS (SELECT DISTINCT blob_id, content FROM file_blobs WHERE content IS NOT NULL), h AS (SELECT regexp_matches(content, '(?i)(?:#|//)\s*(?:BUG|FIXME|XXX|HACK|WRONG|INCORRECT)\b') AS marked, regexp_matches(content, '(?i)(?:#|//)\s*TODO\b') AS todo FROM f) SELECT marked, marked OR todo AS with_todo, count(*) AS files FROM h GROUP BY 1, 2""")
+@_query(r"""WITH f AS (SELECT DISTINCT blob_id, content FROM file_blobs WHERE content IS NOT NULL), h AS (SELECT regexp_matches(content, '(?im)^[ \t]*(?:#|//|/\*|\*)[ \t]*(?:BUG|FIXME|XXX|HACK|WRONG|INCORRECT)\b') AS marked, regexp_matches(content, '(?im)^[ \t]*(?:#|//|/\*|\*)[ \t]*TODO\b') AS todo FROM f) SELECT marked, marked OR todo AS with_todo, count(*) AS files FROM h GROUP BY 1, 2""")
 def bug_markers(spark: SparkSession, d: str) -> DataFrame:
     """Files with defect comments, and with open tasks too; ``marker_examples`` has files that hold some."""
     f = table(spark, d, "file_blobs").where("content is not null").select("blob_id", "content").distinct()
