@@ -396,7 +396,8 @@ def truncated(sources: list[tuple[DataFrame, str, str, str] | tuple[DataFrame, s
         some = one.where(F.pmod("h", F.lit(1 << 30)) < F.lit(int((1 << 30) * min(1.0, sample / max(rows, 1)))))
         for unit, measure in (("chars", F.char_length("t")), ("bytes", F.octet_length("t"))):
             some = some.withColumn("length", measure.cast("long")).join(limits.where(F.col("unit") == unit).select("client", "length"), ["client", "length"], "left_anti")
-        some = materialize(some.select("t", "h", "context"), "sample")
+        # The sample is small and its features are not cheap: spread over all cores, however few files the table has.
+        some = materialize(some.select("t", "h", "context").repartition(max(one.sparkSession.sparkContext.defaultParallelism, 2)), "sample")
         vocab = _vocabulary(some)
         scored = _scored(one, field, one.sparkSession.sparkContext.broadcast((vocab, *fit_endings(*_examples(some, vocab)))))
         parts = scored if parts is None else parts.unionByName(scored)
